@@ -55,11 +55,16 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), lambda at, i: turn(at, i.cast("long")))
 
 
+def told() -> Column:
+    """A hash of the text, which keeps apart rows that share a doc_id."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and a pseudorandom order key of 60 bits, with a row id (``rid``) of its own for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    told = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(told, 1, 15), 16, 10).cast("long").alias("order_key"))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
+    rows = docs.select("doc_id", "source", told().alias("told"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("order_key"))
     return cut(rows.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -123,7 +128,7 @@ def pieces(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)))
     out = placed.withColumn("block", F.explode_outer(touched))
     low, high = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("stop") - F.col("block") * block, F.lit(block))
-    return out.select("rid", "doc_id", "size", "source_no", "source_size", "target", "start", "block", low.alias("low"), high.alias("high"))
+    return out.select("rid", "doc_id", "told", "size", "source_no", "source_size", "target", "start", "block", low.alias("low"), high.alias("high"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -137,6 +142,32 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken")).drop("rid")
 
 
+def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as documents, all columns of ``docs``: one row per document and copy, with the words that this copy takes.
+    A copy that takes all words keeps its text as it is; otherwise the words taken are joined by single spaces (and
+    n_chars, where there is such a column, follows). Documents of which nothing is taken are absent."""
+    rows = sized(docs)
+    sources = targets(rows, block)
+    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block), block), ["source_no", "block"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("whole") + 1))
+    joined = joined.withColumn("copy", copies).withColumn("high", F.when(F.col("copy") <= F.col("whole"), F.col("high")).otherwise(F.least("high", "short")))
+    joined = joined.filter(F.col("high") > F.col("low")).withColumn("from", F.col("block") * block - F.col("start"))
+    span = F.struct((F.col("from") + F.col("low")).alias("first"), (F.col("high") - F.col("low")).alias("n"))
+    takes = joined.withColumn("span", span).groupBy("rid", "doc_id", "told", "size", "copy").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("n"))
+    takes = cut(takes.select(F.col("doc_id").alias("take_id"), F.col("told").alias("take_told"), F.col("copy").alias("take_copy"), "spans", (F.col("n") == F.col("size")).alias("all_words")))
+    again = cut(rows.groupBy("doc_id", "told").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("told").alias("again_told")))
+    if not again.isEmpty():
+        same = docs.doc_id.eqNullSafe(again.again_id) & (told() == again.again_told)
+        docs = docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = F.concat_ws(" ", F.flatten(F.transform("spans", lambda s: F.slice(words, s["first"].cast("int") + 1, s["n"].cast("int")))))
+    out = docs.join(takes, docs.doc_id.eqNullSafe(takes.take_id) & (told() == takes.take_told))
+    out = out.withColumn("text", F.when(F.col("all_words"), F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("all_words"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 def block_uses(dealt: DataFrame, block: int = BLOCK) -> DataFrame:
     """(source_no, block, whole, short): how often the slots take all words of a block, and how many words the one slot takes
     that stops within it (0 if none does)."""
