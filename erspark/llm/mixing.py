@@ -3,7 +3,7 @@
 The words of each source, its documents in a fixed pseudorandom order, form one stream that is packed into blocks of
 ``block`` words. Sources share the words of the mix by weight (1, 2, 3, repeating, in code-point order, null last); a
 target stops at ``REPEATS`` times its source, and what it leaves is shared by weight among the others. A source's slots
-take its blocks through a pseudorandom permutation of the block indices, a new one for each pass over the source, and
+take its blocks through a pseudorandom permutation of the block indices, which each pass enters at another place, and
 the last slot takes only the words that the target still lacks. All slots together are dealt to output shards
 of equal length through one more permutation: the source counts of a shard are then a multinomial draw, conditioned on
 the totals that the targets fix. Slots and blocks are joined by index.
@@ -42,17 +42,26 @@ def _mix(x: Column) -> Column:
     return y.bitwiseXOR(F.shiftright(y, 13))
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """The image of ``x`` under the keyed permutation of 0..n-1."""
+def rounds_of(n: Column, key: Column) -> Column:
+    """The rounds of a keyed permutation of 0..n-1: an array of (pivot, a, b), to be made once per key."""
 
-    def turn(at: Column, i: Column) -> Column:
-        pivot = (_mix(key + i * 2) * 1000003 + _mix(key + i * 2 + 1)) % n
-        other = (pivot - at + n) % n
+    def one(i: Column) -> Column:
+        first, second, third = (_mix(key + i * 3 + k) for k in range(3))
+        return F.struct(((first * 1000003 + second) % n).alias("pivot"), (third % (_P - 1) + 1).alias("a"), first.alias("b"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda i: one(i.cast("long")))
+
+
+def permuted(x: Column, n: Column, rounds: Column) -> Column:
+    """The image of ``x`` under the permutation of 0..n-1 that ``rounds`` describe."""
+
+    def turn(at: Column, r: Column) -> Column:
+        other = (r["pivot"] - at + n) % n
         high = F.greatest(at, other)
-        bit = F.shiftright(_mix(_mix(high + key + i * 7919) + F.floor(high / F.lit(65536)).cast("long")), 9).bitwiseAND(F.lit(1))
-        return F.when(bit == 1, other).otherwise(at)
+        told = ((high % _P + F.shiftright(high, 31) * 7919) % _P * r["a"] + r["b"]) % _P
+        return F.when(F.shiftright(told, 9).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), lambda at, i: turn(at, i.cast("long")))
+    return F.aggregate(rounds, x.cast("long"), turn)
 
 
 def told() -> Column:
@@ -93,11 +102,11 @@ def targets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = 64) -> DataFrame:
     """(shard, position, source_no, pass, block, take): the mix as a list of slots, ``take`` words of a block each."""
-    spans = sources.filter("n_slots > 0").withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / _SPAN).cast("int"))))
+    spans = sources.filter("n_slots > 0").withColumn("rounds", rounds_of(F.col("n_blocks"), F.col("key"))).withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / _SPAN).cast("int"))))
     spans = spans.repartition("source_no", "span").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_SPAN - 1))))
     rows = spans.withColumn("slot", F.col("span").cast("long") * _SPAN + F.col("k")).filter("slot < n_slots")
     rows = rows.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("at", F.col("slot") % F.col("n_blocks"))
-    rows = rows.withColumn("block", permuted(F.col("at"), F.col("n_blocks"), F.col("key") + F.col("pass") * 104729))
+    rows = rows.withColumn("block", permuted((F.col("at") + F.col("pass") * 104729) % F.col("n_blocks"), F.col("n_blocks"), F.col("rounds")))
     rows = rows.withColumn("length", F.when(F.col("block") == F.col("n_blocks") - 1, F.col("source_size") - F.col("block") * block).otherwise(F.lit(block).cast("long")))
     rows = cut(rows.select("source_no", "slot", "pass", "at", "block", "length", "passes", "lack"))
     short = rows.filter((F.col("pass") == F.col("passes")) & (F.col("length") < block)).select("source_no", F.col("at").alias("short_at"), F.col("length").alias("short_length"))
@@ -107,7 +116,8 @@ def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = 64) -> DataFra
     rows = rows.withColumn("take", take).filter("take > 0")
     counted = rows.groupBy("source_no").agg(F.count("*").alias("n"))
     offsets = counted.select("source_no", F.coalesce(F.sum("n").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    rows = rows.join(offsets, "source_no").withColumn("place", permuted(F.col("offset") + F.col("slot"), F.col("total"), F.lit(15485863)))
+    offsets = offsets.withColumn("deal", rounds_of(F.col("total"), F.lit(15485863).cast("long")))
+    rows = rows.join(offsets, "source_no").withColumn("place", permuted(F.col("offset") + F.col("slot"), F.col("total"), F.col("deal")))
     length = F.ceil(F.col("total") / n_shards)
     return rows.select(F.floor(F.col("place") / length).cast("int").alias("shard"), (F.col("place") % length).alias("position"), "source_no", "pass", "block", "take")
 

@@ -46,11 +46,11 @@ def _mix(x: str) -> str:
 def _rounds(source: str) -> str:
     """The swap-or-not rounds over the columns pt, n and key of ``source``, one subquery each."""
     for i in range(ROUNDS):
-        turn = f"(({_mix(f'key + {2 * i}')}) * 1000003 + {_mix(f'key + {2 * i} + 1')}) % n"
-        other = f"SELECT *, (turn - pt + n) % n AS other FROM (SELECT *, {turn} AS turn FROM {source})"
-        inner = _mix(f"greatest(pt, other) + key + {7919 * i}")
-        bit = f"(({_mix('inner_mix + greatest(pt, other) // 65536')}) >> 9) & 1"
-        source = f"(SELECT * EXCLUDE (pt, turn, other, inner_mix), CASE WHEN {bit} = 1 THEN other ELSE pt END AS pt FROM (SELECT *, {inner} AS inner_mix FROM ({other})))"
+        first, second, third = (_mix(f"key + {3 * i + k}") for k in range(3))
+        other = f"SELECT *, (({first} * 1000003 + {second}) % n - pt + n) % n AS other FROM {source}"
+        high = "greatest(pt, other)"
+        told = f"(({high} % 2147483647 + ({high} >> 31) * 7919) % 2147483647 * ({third} % 2147483646 + 1) + {first}) % 2147483647"
+        source = f"(SELECT * EXCLUDE (pt, other), CASE WHEN (({told}) >> 9) & 1 = 1 THEN other ELSE pt END AS pt FROM ({other}))"
     return source
 
 
@@ -66,7 +66,7 @@ t AS (SELECT *, CASE WHEN room > level * weight THEN least(final * weight, CAST(
 u AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), room) AS wanted, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks,
   CAST('0x' || substr(md5(coalesce(source, chr(0))), 1, 7) AS BIGINT) AS skey FROM t),
 v AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN wanted % source_size ELSE 0 END AS lack FROM u),
-s0 AS (SELECT source_no, source_size, passes, lack, n_blocks AS n, slot // n_blocks AS pass, slot % n_blocks AS pt, slot % n_blocks AS place, skey + slot // n_blocks * 104729 AS key
+s0 AS (SELECT source_no, source_size, passes, lack, n_blocks AS n, slot // n_blocks AS pass, (slot % n_blocks + slot // n_blocks * 104729) % n_blocks AS pt, slot % n_blocks AS place, skey AS key
   FROM (SELECT *, unnest(range(0, passes * n_blocks + CASE WHEN lack > 0 THEN least(n_blocks, (lack + {BLOCK - 1}) // {BLOCK} + 1) ELSE 0 END)) AS slot FROM v)),
 s1 AS (SELECT *, pt AS block, CASE WHEN pt = n - 1 THEN source_size - pt * {BLOCK} ELSE {BLOCK} END AS length FROM {_rounds('s0')}),
 s2 AS (SELECT *, max(CASE WHEN pass = passes AND length < {BLOCK} THEN place END) OVER p AS short_at, max(CASE WHEN pass = passes AND length < {BLOCK} THEN length END) OVER p AS short_length
