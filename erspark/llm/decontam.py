@@ -2,10 +2,11 @@
 
 Every window of ``WINDOW`` consecutive words of a benchmark item (an item of fewer words is one window) is looked up in
 the documents. Pass 1 counts, over all documents, the terms that windows hold; windows with a term that never occurs
-are settled there. The two rarest places of every other window name the index terms. Pass 2 stores the postings
-(document, position) of these terms only, each with the words around it. The postings of a window's rarest place and
-of its second rarest, each moved by its offset, are intersected by an equi-join on (document, start); a pair that agrees is then
-checked word for word on the stored context, so matches are exact. ``proximity_matches`` reports the pairs whose moved
+are settled there. The two rarest places of every other window name the index terms. Pass 2 makes the postings (document, position) of these terms. The
+lists of a window's rarest and second rarest place, each moved by its offset, are intersected, and a position where both agree is
+checked word for word, so matches are exact. While the window table is small, the index is partitioned by document and the
+intersection is local, without a shuffle; for larger ones it is partitioned by term, stored with the words around each
+posting, and intersected by an equi-join on (document, start). ``proximity_matches`` reports the pairs whose moved
 positions differ by up to ``slop``.
 
 Native: DataFrame functions only. Term and window tables are broadcast only where their measured size is below
@@ -92,16 +93,38 @@ def _moved(index: DataFrame, places: DataFrame, which: str) -> DataFrame:
     return index.join(own, "term").withColumn("start", F.col("at") - F.col("off")).filter("start >= 0")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def phrase_matches(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, told, window, start, n): every occurrence of a window in a document."""
     places = rarest_places(docs, windows)
+    size = places.agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 128)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return _matches_by_document(docs, places).distinct()
+    return _matches_by_term(docs, places).distinct()
+
+
+def _matches_by_document(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The index partitioned by document: the posting of a rarest term meets its windows by a broadcast, the list of the second
+    rarest is looked up at the moved position in the same document, and words are compared only where both agree. The
+    words never leave the scan's stage."""
+    lists = F.broadcast(places.withColumnRenamed("first_term", "term"))
+    rows = docs.select("doc_id", _told().alias("told"), words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "told", "words", F.posexplode("words").alias("at", "term")).join(lists, "term")
+    start = F.col("at") - F.col("first_at")
+    agrees = (start >= 0) & (F.get("words", start + F.col("second_at")) == F.col("second_term"))
+    exact = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")
+    return rows.filter(F.when(agrees, exact).otherwise(False)).select("doc_id", "told", "window", start.alias("start"), F.size("window").alias("n"))
+
+
+def _matches_by_term(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The index partitioned by term, for window tables of any size: moved lists are intersected by an equi-join, and the context
+    stored with each posting settles the other words."""
     index = cut(postings(docs, places))
     first = _moved(index, places, "first")
     second = _moved(index, places, "second").select(F.col("doc_id").alias("doc2"), F.col("told").alias("told2"), F.col("window").alias("window2"), F.col("start").alias("start2")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("doc2")) & (F.col("told") == F.col("told2")) & (F.col("start") == F.col("start2")) & (F.col("window") == F.col("window2"))
     both = first.join(second, same, "left_semi")
-    exact = F.slice("context", F.col("start") - F.col("context_from") + 1, F.size("window")) == F.col("window")
-    return both.filter((F.col("start") >= F.col("context_from")) & exact).select("doc_id", "told", "window", "start", F.size("window").alias("n")).distinct()
+    exact = F.slice("context", F.greatest(F.col("start") - F.col("context_from"), F.lit(0)) + 1, F.size("window")) == F.col("window")
+    return both.filter((F.col("start") >= F.col("context_from")) & exact).select("doc_id", "told", "window", "start", F.size("window").alias("n"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5) -> DataFrame:
