@@ -78,3 +78,29 @@ p AS (SELECT rid, source_no, CAST(stop - size AS BIGINT) AS start, CAST(stop AS
 q AS (SELECT rid, sum(greatest(least(stop - block * {BLOCK}, take) - greatest(start - block * {BLOCK}, 0), 0)) AS taken FROM p JOIN s3 USING (source_no, block) WHERE take > 0 GROUP BY rid)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN q USING (rid)
 """
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, rid, k, md5(array_to_string(words[k:k+49], ' ')) AS h FROM (SELECT doc_id, rid, words, unnest(range(1, len(words) - 48)) AS k FROM d WHERE len(words) >= 50)),
+m AS (SELECT h, min(doc_id) AS lowest FROM w GROUP BY h),
+g AS (SELECT DISTINCT rid, unnest(range(k, k + 50)) AS p FROM w JOIN m USING (h) WHERE lowest < doc_id OR (doc_id IS NULL AND lowest IS NOT NULL)),
+s AS (SELECT rid, list(p) AS gone FROM g GROUP BY rid),
+e AS (SELECT d.doc_id, d.words, coalesce(s.gone, []) AS gone, d.rid FROM d LEFT JOIN s USING (rid)),
+x AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+y AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.p = g.p WHERE g.p IS NULL GROUP BY x.rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM e LEFT JOIN y USING (rid)
+"""
+
+SUFFIXES = r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS rid, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, k, hash(substr(hx, 2 * k - 1, 200)) AS h FROM (SELECT rid, hx, unnest(range(1, CAST(length(hx) / 2 AS BIGINT) - 98)) AS k FROM d WHERE length(hx) >= 200)),
+r AS (SELECT rid, k, row_number() OVER (PARTITION BY h ORDER BY rid, k) AS n FROM w),
+g AS (SELECT DISTINCT rid, unnest(range(k, k + 100)) AS p FROM (SELECT rid, k FROM r WHERE n > 1)),
+x AS (SELECT rid, hx, unnest(range(1, CAST(length(hx) / 2 AS BIGINT) + 1)) AS p FROM d),
+y AS (SELECT x.rid, string_agg(substr(hx, 2 * x.p - 1, 2), '' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.p = g.p WHERE g.p IS NULL GROUP BY x.rid),
+z AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM g) GROUP BY rid)
+SELECT doc_id, CAST(length(hx) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN y USING (rid) LEFT JOIN z USING (rid)
+"""

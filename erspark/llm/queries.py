@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from erspark.llm import decontam, langid, mixing, oracles, quality, secrets, sharding, simhash, toxicity
+from erspark.llm import decontam, langid, mixing, oracles, quality, secrets, sharding, simhash, substrings, suffixes, toxicity
 from erspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_words(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,15 +53,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": oracles.SUFFIXES,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
     "op4_decontamination": oracles.DECONTAM,
     "op6_mixing": oracles.MIXING,
     "op10_sharding": oracles.SHARDING,
