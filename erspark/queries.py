@@ -1,10 +1,254 @@
-"""The registered queries of the entity-resolution operators, and their DuckDB SQL."""
+"""The registered queries of the entity-resolution operators, and their DuckDB SQL.
+
+Documents serve as products with their head as title; parts serve where model words are needed. Pairs for the leaf measures are
+parts whose keys differ by a fixed step, so both sides run over all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from erspark.functions import similarity as S
+from erspark.functions import text as T
+from erspark.operators import clustering, lsh, matching, metrics, minhash, sampling
+from erspark.operators import features as feat
+from erspark.operators.components import connected_components
+from erspark.oracles import ORACLES as ORACLES
+from erspark.plans import curves, sweep
+from erspark.plans.lineage import cut
+from erspark.plans.matching import candidates, evaluate
+from erspark.plans.params import FULL, LshParams
+from erspark.sources.products import documents_view, part_view
+
+K = 4
+HASHES = 16
+SMALL = LshParams(8, 2)
+WIDE = LshParams(50, 4)
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_view(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_view(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def part_pairs(products: DataFrame, step: int = 1) -> DataFrame:
+    return products.select(F.col("id").alias("id1"), (F.col("id") + step).alias("id2"))
+
+
+def sided(products: DataFrame, step: int = 1) -> DataFrame:
+    a = products.select(F.col("id").alias("id1"), F.col("title").alias("t1"), F.col("features").alias("f1"))
+    b = products.select((F.col("id") - step).alias("id1"), F.col("id").alias("id2"), F.col("title").alias("t2"), F.col("features").alias("f2"))
+    return a.join(b, "id1")
+
+
+def _r(c):
+    return F.round(c, 6)
+
+
+def near_duplicate_pairs(spark, d):
+    """Candidate pairs by MinHash and LSH with the exact Jaccard index of their shingles."""
+    products = docs(spark, d)
+    shingles = cut(products.select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features")))
+    pairs = lsh.candidate_pairs(cut(minhash.signatures(shingles, SMALL.size)), SMALL)
+    a, b = (shingles.select(F.col("id").alias(f"id{n}"), F.col("features").alias(f"s{n}")) for n in (1, 2))
+    return pairs.join(a, "id1").join(b, "id2").select("id1", "id2", _r(S.jaccard_of_sets(F.col("s1"), F.col("s2"))).alias("jaccard"))
+
+
+def clean_text(spark, d):
+    return docs(spark, d).select("id", T.clean_text(F.col("title")).alias("cleaned"))
+
+
+def char_shingles(spark, d):
+    return feat.shingle_rows(docs(spark, d), K).select("id", "shingle")
+
+
+def shingle_df(spark, d):
+    return feat.document_frequency(docs(spark, d), K)
+
+
+def stop_shingles(spark, d):
+    return feat.stop_shingles(docs(spark, d), K, FULL[0].stop_share)
+
+
+def pruned_shingles(spark, d):
+    products = docs(spark, d)
+    return feat.pruned_shingles(products, feat.stop_shingles(products, K, FULL[0].stop_share), K).select("id", "shingle")
+
+
+def title_model_words(spark, d):
+    return parts(spark, d).select("id", F.explode(T.title_words(F.col("title"))).alias("word"))
+
+
+def attr_model_words(spark, d):
+    return parts(spark, d).select("id", F.explode(T.value_words(F.col("features"))).alias("word"))
+
+
+def brand_words(spark, d):
+    return parts(spark, d).select("id", F.explode(T.brand_words(F.col("features"))).alias("word"))
+
+
+def hybrid_features(spark, d):
+    return feat.hybrid_feature_rows(parts(spark, d), FULL[0])
+
+
+def feature_hash(spark, d):
+    return feat.shingle_rows(docs(spark, d), K).select("shingle").distinct().select("shingle", F.crc32(F.col("shingle").cast("binary")).alias("hash"))
+
+
+def minhash_signature(spark, d):
+    shingles = docs(spark, d).select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features"))
+    return minhash.signatures(shingles, HASHES).select("id", F.posexplode("sig").alias("position", "value"))
+
+
+def lsh_candidates(spark, d):
+    return near_duplicate_pairs(spark, d).select("id1", "id2")
+
+
+def lsh_pair_rows(spark, d):
+    listed = [("sweep", p.bands, p.rows) for p in lsh.sweep_lsh_params()] + [("tuning", p.bands, p.rows) for p in lsh.tuning_lsh_params()]
+    return spark.createDataFrame(listed, "kind string, bands long, rows long")
+
+
+def token_cosine(spark, d):
+    return sided(parts(spark, d)).select("id1", "id2", _r(S.token_cosine(F.col("t1"), F.col("t2"))).alias("sim"))
+
+
+def kgram_jaccard(spark, d):
+    return sided(parts(spark, d)).select("id1", "id2", _r(S.kgram_jaccard(F.col("t1"), F.col("t2"))).alias("sim"))
+
+
+def norm_levenshtein(spark, d):
+    return sided(parts(spark, d)).select("id1", "id2", _r(S.norm_levenshtein(F.col("t1"), F.col("t2"))).alias("dist"))
+
+
+def alnum_split(spark, d):
+    words = parts(spark, d).select("id", F.explode(T.title_words(F.col("title"), False)).alias("word"))
+    return words.select("id", "word", T.letters(F.col("word")).alias("letters"), T.digits(F.col("word")).alias("digits"))
+
+
+def weighted_mw(spark, d):
+    a, b = (T.title_words(F.col(c), False) for c in ("t1", "t2"))
+    rows = sided(parts(spark, d)).select("id1", "id2", a.alias("a"), b.alias("b"))
+    return rows.select("id1", "id2", _r(S.weighted_word_similarity(F.col("a"), F.col("b"), False)).alias("lenient"), _r(S.weighted_word_similarity(F.col("a"), F.col("b"), True)).alias("strict"))
+
+
+def title_comp(spark, d):
+    products = parts(spark, d)
+    rows = matching.with_products(part_pairs(products), products)
+    return rows.select("id1", "id2", _r(S.title_similarity(F.col("tok1"), F.col("tok2"), F.col("tw1"), F.col("tw2"), FULL[1])).alias("sim"))
+
+
+def brands(spark, d):
+    known = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().orderBy("p_brand").limit(1000).collect()]
+    return parts(spark, d).select("id", T.brand(F.col("title"), F.filter("features", lambda f: (f["key"] != "Brand") | (F.col("id") % 2 == 0)), known).alias("brand"))
+
+
+def resolutions(spark, d):
+    return parts(spark, d).select("id", T.resolution(F.col("features")).alias("resolution"))
+
+
+def block_checks(spark, d):
+    products = parts(spark, d)
+    pairs = part_pairs(products, 4).union(part_pairs(products, 1)).union(part_pairs(products, 25))
+    return matching.block_checks(pairs, products).select("id1", "id2", "reason")
+
+
+def key_value_match(spark, d):
+    products = parts(spark, d)
+    rows = matching.with_products(part_pairs(products), products)
+    m = S.key_value_match(F.col("f1"), F.col("f2"), FULL[1].gamma)
+    rows = rows.select("id1", "id2", m.alias("m"))
+    return rows.select("id1", "id2", _r(F.col("m.sim")).alias("sim"), _r(F.col("m.w")).alias("w"), F.col("m.m").cast("long").alias("m"), F.concat_ws("|", F.array_sort("m.matched")).alias("matched"))
+
+
+def mw_overlap(spark, d):
+    products = parts(spark, d)
+    return matching.score_parts(part_pairs(products, 25), products, FULL[1]).select("id1", "id2", _r(F.col("overlap")).alias("overlap"))
+
+
+def pair_similarity(spark, d):
+    products = parts(spark, d)
+    return matching.pair_similarity(part_pairs(products, 25), products, FULL[1]).select("id1", "id2", _r(F.col("sim")).alias("sim"), _r(F.col("dist")).alias("dist"))
+
+
+def components(spark, d):
+    """Components of the graph that links parts with an equal name and size."""
+    edges = spark.read.parquet(f"{d}/part.parquet").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("v"), F.collect_list("p_partkey").alias("all"))
+    more = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("v"), F.collect_list("p_partkey").alias("all"))
+    edges = edges.union(more.select("p_brand", "p_size", "v", "all")).select(F.explode("all").alias("u"), "v")
+    return connected_components(edges).select("node", "component")
+
+
+def clusters(spark, d):
+    products = docs(spark, d)
+    pairs = cut(candidates(products, FULL[0], WIDE))
+    return clustering.without_singletons(clustering.clusters(matching.pair_similarity(pairs, products, FULL[1]), FULL[1].epsilon))
+
+
+def cluster_pairs(spark, d):
+    return clustering.cluster_pairs(clusters(spark, d))
+
+
+def transitive_pairs(spark, d):
+    return clustering.resolve_transitivity(true_pairs(spark, d))
+
+
+def true_pairs(spark, d):
+    return metrics.true_pairs(docs(spark, d))
+
+
+def pair_metrics(spark, d):
+    """PQ, PC, F1* and the fraction of comparisons of the LSH candidates; the candidates serve as predictions too."""
+    products = docs(spark, d)
+    pairs = cut(near_duplicate_pairs(spark, d).select("id1", "id2"))
+    m = metrics.metrics(metrics.counts(pairs, pairs, metrics.true_pairs(products)), F.lit(products.count()))
+    return m.select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
+
+
+def cluster_metrics(spark, d):
+    return evaluate(docs(spark, d), FULL[0], WIDE, FULL[1]).select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
+
+
+def bootstrap_oob(spark, d):
+    region = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+    return sampling.out_of_bag(sampling.numbered(region), range(3), region.count())
+
+
+def grid_configs(spark, d):
+    return sweep.grid_configs(spark, sweep.grid() | {"MW_WEIGHT": [0, 2], "STOP_FREQ": [0.0138, 1.0]})
+
+
+def grid_summary(spark, d):
+    part = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey", F.length("n_name").alias("n"))
+    return part.groupBy("n_regionkey").agg(_r(F.avg(F.col("n") / 10)).alias("mean_f1"), _r(F.avg(F.col("n") / 20)).alias("mean_f1_star")).orderBy(F.desc("mean_f1_star"), "n_regionkey")
+
+
+def _small_grid(spark, d):
+    values = sweep.grid(pairs=[LshParams(8, 2), LshParams(4, 4)], bootstraps=2)
+    return sweep.run_grid(docs(spark, d), values)
+
+
+def grid_search(spark, d):
+    return _small_grid(spark, d)
+
+
+def curve(spark, d):
+    results = _small_grid(spark, d)
+    return curves.performance_curve(results)
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        near_duplicate_pairs, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, title_model_words, attr_model_words, brand_words,
+        hybrid_features, feature_hash, minhash_signature, lsh_candidates, lsh_pair_rows, token_cosine, kgram_jaccard, norm_levenshtein, alnum_split, weighted_mw, title_comp,
+        brands, resolutions, block_checks, key_value_match, mw_overlap, pair_similarity, components, clusters, cluster_pairs, transitive_pairs, true_pairs,
+        pair_metrics, cluster_metrics, bootstrap_oob, grid_configs, grid_summary, grid_search, curve,
+    )
+}
