@@ -213,7 +213,7 @@ def settle(n: int, named: list[dict], task: Task) -> tuple[np.ndarray, np.ndarra
     return covered, at, ask[at]
 
 
-_SETTLED = "doc_id long, told long, text string, covered array<int>, k1 array<long>, k2 array<long>, pos array<int>, ask array<boolean>"
+_PENDING = "doc_id long, told long, text string, covered array<int>, k1 array<long>, k2 array<long>, pos array<int>, ask array<boolean>"
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -221,26 +221,35 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).astype(np.int32)
 
 
-def _settler(task: Task):
+def _settler(task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType]):
+    """Rows (doc_id, told, text, named). A text without open questions is finished at once and leaves without its words; any other
+    waits, with its covered runs and the windows that it asks about. Windows of both kinds enter the merge."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                covers, k1, k2, places, asks = [], [], [], [], []
+                texts, covers, k1, k2, places, asks, results = [], [], [], [], [], [], []
                 for text, named in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    if not named:
-                        for out in (covers, k1, k2, places, asks):
-                            out.append([])
-                        continue
-                    tokens = task.tokens((text or "").encode())
-                    covered, at, ask = settle(len(tokens), named, task)
-                    covers.append(_runs(covered))
-                    k1.append(digests(tokens, task.length, _B1)[at].view(np.int64))
-                    k2.append(digests(_scramble(tokens), task.length, _B2)[at].view(np.int64))
+                    data = (text or "").encode()
+                    covered, at, ask = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, bool)
+                    if named:
+                        tokens = task.tokens(data)
+                        covered, at, ask = settle(len(tokens), named, task)
+                        k1.append(digests(tokens, task.length, _B1)[at].view(np.int64))
+                        k2.append(digests(_scramble(tokens), task.length, _B2)[at].view(np.int64))
+                    else:
+                        k1.append([])
+                        k2.append([])
+                    waits = bool(ask.any())
+                    runs = _runs(covered)
+                    texts.append(text if waits else None)
+                    covers.append(runs if waits else None)
                     places.append(at.astype(np.int32))
                     asks.append(ask)
+                    results.append((None,) * len(types) if waits else finish(data, runs.reshape(-1, 2).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(covers, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.bool_()))],
-                    ["doc_id", "told", "text", "covered", "k1", "k2", "pos", "ask"],
+                    [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(covers, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.bool_())), *(pa.array([r[k] for r in results], t) for k, t in enumerate(types))],
+                    ["doc_id", "told", "text", "covered", "k1", "k2", "pos", "ask", *names],
                 )
 
     return run
@@ -251,12 +260,10 @@ def _finisher(task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: l
         for batch in batches:
             rows = []
             for text, covered, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = (text or "").encode()
-                starts = np.array((covered or [])[::2] + (found or []), np.int64)
-                stops = np.array((covered or [])[1::2] + [p + task.length for p in found or []], np.int64)
-                rows.append(finish(data, np.stack([starts, stops], axis=1) if len(starts) else np.empty((0, 2), np.int64)))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+                starts = np.array(covered[::2] + (found or []), np.int64)
+                stops = np.array(covered[1::2] + [p + task.length for p in found or []], np.int64)
+                rows.append(finish((text or "").encode(), np.stack([starts, stops], axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *names])
 
     return run
 
@@ -266,30 +273,28 @@ def told() -> Column:
     return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
-def removed_spans(docs: DataFrame, task: Task) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, told, text, covered) of every row, and (doc_id, told, pos) of repeated windows besides. ``covered`` holds bounds of token
-    runs that stage 3 proved; together they cover all tokens in repeated windows."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, told, text): told is 0 for all if no doc_id is repeated or null, and a hash of the text otherwise."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    return rows.select("doc_id", F.lit(0).cast("long").alias("told") if again.isEmpty() else told().alias("told"), "text")
+
+
+def without_repeats(docs: DataFrame, task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id and what ``finish`` makes of the text's bytes and the token spans to remove."""
     small_batches(docs.sparkSession, rows=512, size="8m")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), told().alias("told"), "text")
+    rows = keyed(docs)
     sampled = rows.mapInArrow(_sampler(task), _ROWS)
     named = _sorted(sampled).mapInArrow(_names(task, False), _NAMED)
     lists = named.groupBy("doc_id", "told").agg(F.collect_list(F.struct("pos", "repeat", "lead_doc", "lead_told", "lead_pos")).alias("named"))
     lists = lists.withColumnsRenamed({"doc_id": "d", "told": "t"})
     met = rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.told == lists.t), "left").select("doc_id", "told", "text", "named")
-    settled = stored(met.mapInArrow(_settler(task), _SETTLED), "settled")
+    settled = stored(met.mapInArrow(_settler(task, finish, names, types), f"{_PENDING}, {ddl}"), "settled")
     zipped = F.explode(F.arrays_zip("k1", "k2", "pos", "ask")).alias("w")
     merged = _sorted(settled.filter(F.size("pos") > 0).select(zipped, "doc_id", "told").select("w.k1", "w.k2", "doc_id", "told", "w.pos", "w.ask"))
-    repeats = merged.mapInArrow(_names(task, True), _NAMED).select("doc_id", "told", "pos")
-    return settled, repeats
-
-
-def without_repeats(docs: DataFrame, task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
-    """One row per row of ``docs``: doc_id and what ``finish`` makes of the text's bytes and the token spans to remove."""
-    settled, repeats = removed_spans(docs, task)
-    run = _finisher(task, finish, names, types)
-    asked = F.exists("ask", lambda x: x)
-    done = settled.filter(~asked).select("doc_id", "text", "covered", F.array().cast("array<int>").alias("found")).mapInArrow(run, ddl)
+    repeats = merged.mapInArrow(_names(task, True), _NAMED)
     lists = repeats.groupBy(F.col("doc_id").alias("d"), F.col("told").alias("t")).agg(F.collect_set("pos").alias("found"))
-    open_ = settled.filter(asked).select("doc_id", "told", "text", "covered")
-    open_ = open_.join(lists, open_.doc_id.eqNullSafe(lists.d) & (open_.told == lists.t), "left").select("doc_id", "text", "covered", "found").mapInArrow(run, ddl)
-    return done.union(open_)
+    waiting = settled.filter("covered IS NOT NULL").select("doc_id", "told", "text", "covered")
+    waiting = waiting.join(lists, waiting.doc_id.eqNullSafe(lists.d) & (waiting.told == lists.t), "left").select("doc_id", "text", "covered", "found")
+    done = settled.filter("covered IS NULL").select("doc_id", *names)
+    return done.union(waiting.mapInArrow(_finisher(task, finish, names, types), f"doc_id long, {ddl}"))

@@ -60,5 +60,5 @@ TASK = Task(length=WINDOW, period=PERIOD, tokens=word_numbers, across=True)
 def dedup_words(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the SHA-256 of the kept words, joined by one space."""
     return without_repeats(
-        docs, TASK, _finish, ["n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.string()], "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        docs, TASK, _finish, ["n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.string()], "n_words long, n_removed long, kept_sha256 string"
     )

@@ -50,5 +50,5 @@ TASK = Task(length=WINDOW, period=PERIOD, tokens=byte_numbers, across=False)
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
     return without_repeats(
-        docs, TASK, _finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        docs, TASK, _finish, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()], "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
