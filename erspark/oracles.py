@@ -1 +1,106 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the registered queries. Patterns follow erspark.functions.patterns in RE2's syntax."""
+
+from __future__ import annotations
+
+from erspark.operators import minhash, sampling
+
+_DOCS = "docs AS (SELECT doc_id AS id, md5(text) AS true_model_id, substr(coalesce(text, ''), 1, 200) AS title, coalesce(source, '') AS shop FROM documents)"
+_PARTS = """parts AS (SELECT p_partkey AS id, concat_ws('|', p_name, p_brand, p_type) AS true_model_id,
+  p_brand || ' ' || p_name || ' ' || p_type || ' ' || p_size || ' inch M' || p_partkey || 'X' || p_size || ' ' || p_size || lower(substr(p_type, 1, 2)) AS title,
+  'shop' || (p_partkey % 4) AS shop, p_brand AS brand, p_type AS type, p_size || '.5 inches' AS screen, p_size || ':9' AS ratio,
+  (1000 + 100 * length(p_type)) || ' x ' || (500 + 100 * length(p_type)) AS res FROM part)"""
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title),
+  '(\d+)\s*[- ]?\s*(?:inch(?:es)?|")', '\1inch', 'g'), '(\d+)\s*[- ]?\s*(?:hz|hertz)', '\1hz', 'g'), '(\d+)\s*[- ]?\s*(?:lbs|pounds)', '\1lbs', 'g'),
+  '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_SHINGLES = f"""cleaned AS (SELECT id, {_CLEAN} AS c FROM docs),
+shingles AS (SELECT DISTINCT id, substr(c, CAST(i AS INTEGER), 4) AS shingle, FALSE AS short FROM (SELECT id, c, unnest(range(1, length(c) - 2)) AS i FROM cleaned WHERE length(c) >= 4)
+  UNION ALL SELECT id, c, TRUE FROM cleaned WHERE length(c) < 4)"""
+_STOPS = "stops AS (SELECT shingle, count(*) AS df FROM shingles WHERE NOT short GROUP BY shingle HAVING count(*) > (SELECT count(*) FROM docs) * CAST(0.0138 AS DOUBLE))"
+_TITLE_WORD = r"regexp_extract_all(title, '([a-zA-Z0-9]*((\d*\.)?\d+[^0-9, ]+)[a-zA-Z0-9]*)', 1)"
+
+
+def _value_words(value: str) -> str:
+    return rf"list_transform(regexp_extract_all({value}, '^\d+\.\d+|\b\d+:\d+\b|(?:^|\s)\d{{3,}}\s*[x]\s*\d{{3,}}(?:\s|$)'), lambda w: lower(trim(w)))"
+
+
+_VALUES = f"vwords AS (SELECT DISTINCT id, unnest(list_concat(list_concat({_value_words('brand')}, {_value_words('type')}), list_concat({_value_words('screen')}, list_concat({_value_words('ratio')}, {_value_words('res')})))) AS word FROM parts)"
+_TITLES = f"twords AS (SELECT DISTINCT id, unnest(list_transform({_TITLE_WORD}, lambda w: lower(w))) AS word FROM parts)"
+_CRC = """tb AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END, n::BIGINT)) AS t),
+hashed AS (SELECT shingle, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(shingle) + 1), lambda i: CAST(ascii(substr(shingle, CAST(i AS INTEGER), 1)) AS BIGINT)),
+  lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT)) AS x FROM (SELECT DISTINCT shingle FROM shingles), tb)"""
+_HASHES = ", ".join(f"({k}, {a}::HUGEINT, {b}::HUGEINT)" for k, (a, b) in enumerate(minhash.coefficients(16)))
+_SIGS = f"""coef(position, a, b) AS (VALUES {_HASHES}),
+sigs AS (SELECT id, position, CAST(min((a * x + b) % 4294967295) AS BIGINT) AS value FROM shingles JOIN hashed USING (shingle), coef GROUP BY id, position)"""
+_CANDIDATES = """bands AS (SELECT id, position // 2 AS band, list(value ORDER BY position) AS bucket FROM sigs GROUP BY id, position // 2),
+cands AS (SELECT DISTINCT x.id AS id1, y.id AS id2 FROM bands x JOIN bands y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id)"""
+_FULL_LSH = f"{_DOCS}, {_SHINGLES}, {_CRC}, {_SIGS}, {_CANDIDATES}"
+_PAIR = "pairs AS (SELECT x.id AS id1, y.id AS id2, x.title AS t1, y.title AS t2 FROM parts x JOIN parts y ON y.id = x.id + 1)"
+_NLEV = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0.0 ELSE levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})) END"
+_WORD_PAIRS = f"""ow AS (SELECT id, word, regexp_replace(word, '[0-9]', '', 'g') AS a, regexp_replace(word, '[^0-9]', '', 'g') AS n FROM (SELECT DISTINCT id, unnest({_TITLE_WORD}) AS word FROM parts)),
+wp AS (SELECT p.id1, p.id2, x.word AS w1, y.word AS w2, {_NLEV.format('x.a', 'y.a')} AS d, x.n = y.n AS same, (length(x.word) + length(y.word))::DOUBLE AS weight,
+  1 - {_NLEV.format('x.word', 'y.word')} AS s FROM pairs p JOIN ow x ON x.id = p.id1 JOIN ow y ON y.id = p.id2),
+ws AS (SELECT id1, id2, coalesce(sum(s * weight) / nullif(sum(weight), 0), 0) AS lenient,
+  coalesce(sum(s * weight) FILTER (WHERE d > 0.5 AND same) / nullif(sum(weight) FILTER (WHERE d > 0.5 AND same), 0), 0) AS strict,
+  bool_or(d > 0.528 AND NOT same) AS unlike, bool_or(d > 0.528 AND same) AS alike FROM wp GROUP BY id1, id2)"""
+_COSINE = """toks AS (SELECT id1, id2, list_distinct(list_filter(regexp_split_to_array(t1, '\\s+'), lambda t: t <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(t2, '\\s+'), lambda t: t <> '')) AS b FROM pairs),
+cosine AS (SELECT id1, id2, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / (sqrt(len(a)) * sqrt(len(b))) END AS cos FROM toks)""".replace("\\\\", "\\")
+
+
+def _oob() -> str:
+    return ", ".join(f"({seed}, {k})" for seed in range(3) for k in sampling.out_of_bag_positions(25, seed))
+
+
+_METRICS = """SELECT n_comp, round({f1}, 6) AS f1, round(CASE WHEN pq + pc = 0 THEN 0 ELSE 2 * pq * pc / (pq + pc) END, 6) AS f1_star, round(pc, 6) AS pc, round(pq, 6) AS pq, round(frac, 6) AS frac_comp
+FROM (SELECT n_comp, CASE WHEN n_comp > 0 THEN hit::DOUBLE / n_comp ELSE 0 END AS pq, CASE WHEN n_true > 0 THEN hit::DOUBLE / n_true ELSE 0 END AS pc, n_comp / (n * (n - 1)::DOUBLE / 2) AS frac
+FROM (SELECT (SELECT count(*) FROM cands) AS n_comp, (SELECT count(*) FROM truth) AS n_true, (SELECT count(*) FROM cands JOIN truth USING (id1, id2)) AS hit, (SELECT count(*) FROM docs) AS n))"""
+_TRUTH = "truth AS (SELECT x.id AS id1, y.id AS id2 FROM docs x JOIN docs y ON x.true_model_id = y.true_model_id AND x.id < y.id)"
+
+ORACLES: dict[str, str] = {
+    "near_duplicate_pairs": f"""WITH {_FULL_LSH}, sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS (SELECT id1, id2, count(*) AS n FROM cands JOIN shingles x ON x.id = id1 JOIN shingles y ON y.id = id2 AND y.shingle = x.shingle GROUP BY id1, id2)
+SELECT c.id1, c.id2, round(coalesce(m.n, 0)::DOUBLE / (x.n + y.n - coalesce(m.n, 0)), 6) AS jaccard FROM cands c JOIN sizes x ON x.id = c.id1 JOIN sizes y ON y.id = c.id2 LEFT JOIN common m ON m.id1 = c.id1 AND m.id2 = c.id2""",
+    "clean_text": f"WITH {_DOCS} SELECT id, {_CLEAN} AS cleaned FROM docs",
+    "char_shingles": f"WITH {_DOCS}, {_SHINGLES} SELECT id, shingle FROM shingles",
+    "shingle_df": f"WITH {_DOCS}, {_SHINGLES} SELECT shingle, count(*) AS df FROM shingles WHERE NOT short GROUP BY shingle",
+    "stop_shingles": f"WITH {_DOCS}, {_SHINGLES}, {_STOPS} SELECT shingle, df FROM stops",
+    "pruned_shingles": f"WITH {_DOCS}, {_SHINGLES}, {_STOPS} SELECT id, shingle FROM shingles WHERE short OR shingle NOT IN (SELECT shingle FROM stops)",
+    "title_model_words": f"WITH {_PARTS}, {_TITLES} SELECT id, word FROM twords",
+    "attr_model_words": f"WITH {_PARTS}, {_VALUES} SELECT id, word FROM vwords",
+    "brand_words": f"WITH {_PARTS} SELECT id, lower(brand) AS word FROM parts",
+    "hybrid_features": f"""WITH {_PARTS}, {_TITLES}, {_VALUES}, words AS (SELECT id, word FROM twords UNION SELECT id, word FROM vwords UNION SELECT id, lower(brand) FROM parts),
+docs AS (SELECT id, title FROM parts), {_SHINGLES}, {_STOPS}
+SELECT id, shingle AS feature FROM shingles WHERE short OR shingle NOT IN (SELECT shingle FROM stops)
+UNION SELECT id, 'MW_' || word || '_' || i FROM words, range(2) r(i) WHERE i = 0 OR (regexp_matches(word, '[a-zA-Z]') AND regexp_matches(word, '[0-9]'))""",
+    "feature_hash": f"WITH {_DOCS}, {_SHINGLES}, {_CRC} SELECT shingle, x AS hash FROM hashed",
+    "minhash_signature": f"WITH {_DOCS}, {_SHINGLES}, {_CRC}, {_SIGS} SELECT id, CAST(position AS INTEGER) AS position, value FROM sigs",
+    "lsh_candidates": f"WITH {_FULL_LSH} SELECT id1, id2 FROM cands",
+    "lsh_pair_rows": "SELECT 'sweep' AS kind, b AS bands, 200 // b AS rows FROM range(2, 201) r(b) WHERE 200 // b <> 1 UNION ALL SELECT 'tuning', b, 200 // b FROM range(1, 201) r(b) WHERE 200 % b = 0",
+    "token_cosine": f"WITH {_PARTS}, {_PAIR}, {_COSINE} SELECT id1, id2, round(cos, 6) AS sim FROM cosine",
+    "kgram_jaccard": f"""WITH {_PARTS}, {_PAIR}, g AS (SELECT id1, id2, list_distinct(list_transform(range(1, length(t1) - 1), lambda i: substr(t1, CAST(i AS INTEGER), 3))) AS a,
+  list_distinct(list_transform(range(1, length(t2) - 1), lambda i: substr(t2, CAST(i AS INTEGER), 3))) AS b FROM pairs)
+SELECT id1, id2, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS sim FROM g""",
+    "norm_levenshtein": f"WITH {_PARTS}, {_PAIR} SELECT id1, id2, round({_NLEV.format('t1', 't2')}, 6) AS dist FROM pairs",
+    "alnum_split": f"WITH {_PARTS} SELECT id, word, regexp_replace(word, '[0-9]', '', 'g') AS letters, regexp_replace(word, '[^0-9]', '', 'g') AS digits FROM (SELECT DISTINCT id, unnest({_TITLE_WORD}) AS word FROM parts)",
+    "weighted_mw": f"WITH {_PARTS}, {_PAIR}, {_WORD_PAIRS} SELECT id1, id2, round(coalesce(lenient, 0), 6) AS lenient, round(coalesce(strict, 0), 6) AS strict FROM pairs LEFT JOIN ws USING (id1, id2)",
+    "title_comp": f"""WITH {_PARTS}, {_PAIR}, {_COSINE}, {_WORD_PAIRS}, b AS (SELECT id1, id2, cos, coalesce(unlike, FALSE) AS unlike, coalesce(alike, FALSE) AS alike, coalesce(strict, 0) AS strict,
+  CAST(0.859 AS DOUBLE) * cos + (1 - CAST(0.859 AS DOUBLE)) * coalesce(lenient, 0) AS s FROM cosine LEFT JOIN ws USING (id1, id2))
+SELECT id1, id2, round(CASE WHEN cos > CAST(0.558 AS DOUBLE) THEN 1.0 WHEN unlike THEN -1.0 WHEN alike THEN CAST(0.19 AS DOUBLE) * strict + (1 - CAST(0.19 AS DOUBLE)) * s ELSE s END, 6) AS sim FROM b""",
+    "brands": f"""WITH {_PARTS}, known AS (SELECT DISTINCT lower(p_brand) AS b FROM part)
+SELECT id, CASE WHEN id % 2 = 0 THEN lower(brand) ELSE coalesce((SELECT b FROM known WHERE regexp_matches(lower(title), '\\b' || regexp_escape(b) || '\\b') ORDER BY length(b) DESC, b LIMIT 1), 'na') END AS brand FROM parts""".replace("\\\\", "\\"),
+    "resolutions": f"WITH {_PARTS} SELECT id, res AS resolution FROM parts",
+    "block_checks": f"""WITH {_PARTS}, steps(s) AS (VALUES (4), (1), (25))
+SELECT x.id AS id1, y.id AS id2, CASE WHEN x.shop = y.shop THEN 'shop' WHEN lower(x.brand) <> lower(y.brand) THEN 'brand' WHEN x.res <> y.res THEN 'resolution' END AS reason FROM parts x, steps JOIN parts y ON y.id = x.id + s""",
+    "components": """WITH RECURSIVE e AS (SELECT p_partkey AS u, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS v FROM part
+  UNION ALL SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) FROM part),
+g AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+r(node, reached) AS (SELECT u, u FROM g UNION SELECT r.node, g.v FROM r JOIN g ON g.u = r.reached)
+SELECT node, min(reached) AS component FROM r GROUP BY node""",
+    "true_pairs": f"WITH {_DOCS}, {_TRUTH} SELECT id1, id2 FROM truth",
+    "transitive_pairs": f"WITH {_DOCS}, {_TRUTH} SELECT id1, id2 FROM truth",
+    "pair_metrics": f"WITH {_FULL_LSH}, {_TRUTH} " + _METRICS.format(f1="CASE WHEN pq + pc = 0 THEN 0 ELSE 2 * pq * pc / (pq + pc) END"),
+    "bootstrap_oob": f"WITH o(seed, id) AS (VALUES {_oob()}) SELECT CAST(seed AS INTEGER) AS seed, CAST(n_nationkey AS BIGINT) AS id FROM o JOIN nation ON n_nationkey = id",
+    "grid_configs": """SELECT CAST(row_number() OVER (ORDER BY mw, stop, b) - 1 AS INTEGER) AS config_id, CAST(b AS INTEGER) AS "Bands", CAST(200 // b AS INTEGER) AS "Rows", CAST(b * (200 // b) AS INTEGER) AS "Signatures",
+CAST(0.528 AS DOUBLE) AS "Threshold", 4 AS "Shingle_Size", mw AS "MW_Weight", CAST(stop AS DOUBLE) AS "Stop_Freq", CAST(0.718 AS DOUBLE) AS "Gamma", CAST(0.454 AS DOUBLE) AS "Epsilon", CAST(0.819 AS DOUBLE) AS "Mu",
+CAST(0.558 AS DOUBLE) AS "Alpha", CAST(0.859 AS DOUBLE) AS "Beta", CAST(0.190 AS DOUBLE) AS "Delta" FROM range(2, 201) r(b), (VALUES (0), (2)) m(mw), (VALUES (0.0138), (1.0)) s(stop) WHERE 200 // b <> 1""",
+    "grid_summary": """SELECT n_regionkey, round(avg(length(n_name) / 10), 6) AS mean_f1, round(avg(length(n_name) / 20), 6) AS mean_f1_star FROM nation GROUP BY n_regionkey""",
+}
