@@ -90,7 +90,7 @@ def postings(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def _moved(index: DataFrame, places: DataFrame, which: str) -> DataFrame:
     own = _sized(places.select("window", F.col(f"{which}_term").alias("term"), F.col(f"{which}_at").alias("off")), F.col("term"))
-    return index.join(own, "term").withColumn("start", F.col("at") - F.col("off")).filter("start >= 0")
+    return index.join(own, "term").withColumn("start", F.col("at") - F.col("off"))
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
