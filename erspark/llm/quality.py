@@ -4,7 +4,8 @@ Every text gets six ratios (``METRICS``), each of which grows with junk. Labelle
 stratum (language) and ratio the cutoffs of a fixed grid are tested from lax to strict. A cutoff passes while the
 exact binomial (Clopper-Pearson) upper bound of the share of good documents that it rejects stays within the ratio's
 part of ``MAX_FALSE``. The tests of one ratio run in a fixed order and stop at the first failure, so they need no
-correction among themselves; ``DELTA`` is divided by the number of strata times ratios (Bonferroni). Hence with
+correction among themselves; of the certified cutoffs the laxest is taken that rejects as many labelled bad documents as the strictest
+(a rule that catches none isn't armed). ``DELTA`` is divided by the number of strata times ratios (Bonferroni). Hence with
 probability 1 - ``DELTA``, in all strata at once, the rules reject at most ``MAX_FALSE`` of the good documents. A stratum
 with too few labels arms no rule.
 
@@ -124,20 +125,24 @@ def upper_bound_holds(k: int, n: int, share: float, delta: float) -> bool:
     return n > 0 and binomial_cdf(k, n, share) <= delta
 
 
-def choose_steps(counts: dict[tuple[str, str], dict[int, int]], totals: dict[str, int], max_false: float, delta: float) -> dict[tuple[str, str], int]:
-    """The strictest certified step by (stratum, metric). ``counts``: good documents by step of their ratio, the step
-    k being the laxest cutoff k / GRID that they exceed; ``totals``: good documents by stratum."""
+def choose_steps(good: dict[tuple, dict[int, int]], bad: dict[tuple, dict[int, int]], totals: dict, max_false: float, delta: float) -> dict[tuple, int]:
+    """A certified step by (stratum, metric): the laxest that rejects as many labelled bad documents as the strictest certified one.
+    All certified steps hold at once, so the choice among them may look at the labels. ``good`` and ``bad``: documents by step of
+    their ratio, step k being the laxest cutoff k / GRID that they exceed; ``totals``: good documents by stratum."""
     chosen = {}
     each, level = max_false / len(METRICS), delta / max(1, len(totals) * len(METRICS))
     for stratum, n in totals.items():
         for metric in METRICS:
-            rejected, own = 0, counts.get((stratum, metric), {})
-            for step in range(GRID, -1, -1):
-                rejected += own.get(step, 0)
+            rejected, caught, most, best = 0, 0, 0, None
+            for step in range(GRID - 1, 0, -1):
+                rejected += good.get((stratum, metric), {}).get(step, 0)
                 if not upper_bound_holds(rejected, n, each, level):
                     break
-                if step:
-                    chosen[stratum, metric] = step
+                caught += bad.get((stratum, metric), {}).get(step, 0)
+                if caught > most:
+                    most, best = caught, step
+            if best is not None:
+                chosen[stratum, metric] = best
     return chosen
 
 
@@ -150,23 +155,23 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float =
     """Certified steps by (stratum key, metric), and the stratum keys. ``measured`` has doc_id, stratum and m. Only
     counts by (stratum, metric, step) reach the driver: MAX_STRATA + 1 strata at most, fixed numbers of metrics and
     steps. A key is ("own", value), or ("rest", None) for all other strata together."""
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1")
+    told = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     steps = F.array(*[F.struct(F.lit(m).alias("metric"), _step(m).alias("step")) for m in METRICS])
-    held = measured.filter(~base_failed()).select("doc_id", "stratum", steps.alias("steps")).join(good.select("doc_id"), "doc_id", "left_semi")
-    table = cut(held.select("stratum", F.explode("steps").alias("s")).groupBy("stratum", "s.metric", "s.step").count())
-    sizes = table.filter(F.col("metric") == METRICS[0]).groupBy("stratum").agg(F.sum("count").alias("n"))
+    held = measured.filter(~base_failed()).select("doc_id", "stratum", steps.alias("steps")).join(told, "doc_id")
+    table = cut(held.select("stratum", "quality", F.explode("steps").alias("s")).groupBy("stratum", "quality", "s.metric", "s.step").count())
+    sizes = table.filter((F.col("metric") == METRICS[0]) & (F.col("quality") == 1)).groupBy("stratum").agg(F.sum("count").alias("n"))
     top = sizes.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).select(F.col("stratum").alias("own"), F.lit(True).alias("mine"))
     rows = table.join(F.broadcast(top), F.col("stratum").eqNullSafe(F.col("own")), "left")
-    rows = rows.groupBy("mine", "own", "metric", "step").agg(F.sum("count").alias("n"))
-    counts: dict[tuple, dict[int, int]] = {}
+    rows = rows.groupBy("mine", "own", "quality", "metric", "step").agg(F.sum("count").alias("n"))
+    counts: dict[int, dict[tuple, dict[int, int]]] = {0: {}, 1: {}}
     totals: dict = {}
     for r in rows.collect():
         key = ("own", r.own) if r.mine else ("rest", None)
-        own = counts.setdefault((key, r.metric), {})
+        own = counts[r.quality].setdefault((key, r.metric), {})
         own[r.step] = own.get(r.step, 0) + r.n
-        if r.metric == METRICS[0]:
+        if r.metric == METRICS[0] and r.quality == 1:
             totals[key] = totals.get(key, 0) + r.n
-    return choose_steps(counts, totals, max_false, delta), set(totals)
+    return choose_steps(counts[1], counts[0], totals, max_false, delta), set(totals)
 
 
 def verdict(chosen: dict, strata: set) -> Column:

@@ -41,18 +41,18 @@ def test_binomial_cdf(k, n, p):
     assert quality.binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
-def test_cutoffs_are_the_strictest_certified():
-    """The last step that passes in the fixed order, and none after the first failure."""
+def test_cutoffs_are_certified_and_no_stricter_than_needed():
+    """Steps past the first failure aren't used; among the rest the laxest that catches all that can be caught."""
     metric = quality.METRICS[0]
     n = 5000
-    counts = {("s", m): {-1: n} for m in quality.METRICS} | {("s", metric): {30: 3, 20: 40, 2: 4957}}
-    chosen = quality.choose_steps(counts, {"s": n}, 0.03, 0.05)
+    good = {("s", m): {-1: n} for m in quality.METRICS} | {("s", metric): {30: 3, 20: 40, 2: 4957}}
+    bad = {("s", metric): {40: 10, 25: 5, 10: 100}}
     level = 0.05 / len(quality.METRICS)
     passes = lambda k: quality.binomial_cdf(k, n, 0.03 / len(quality.METRICS)) <= level
     assert passes(3) and not passes(43)
-    assert chosen["s", metric] == 21
-    assert chosen["s", quality.METRICS[1]] == 1
-    assert quality.choose_steps(counts, {"s": 50}, 0.03, 0.05) == {}
+    assert quality.choose_steps(good, bad, {"s": n}, 0.03, 0.05) == {("s", metric): 25}
+    assert quality.choose_steps(good, {}, {"s": n}, 0.03, 0.05) == {}
+    assert quality.choose_steps(good, bad, {"s": 50}, 0.03, 0.05) == {}
 
 
 def test_quality_rules_find_junk_and_keep_good(spark):
