@@ -9,6 +9,8 @@ position of D in both. The stages, for windows of L tokens:
    name's leader. Runs are read as a stream with constant memory, so a name may have any number of samples.
 3. Names along a text: samples whose leaders follow each other on one diagonal of one text, without a gap, prove that the whole
    stretch also stands at the leaders' place; windows inside it are settled.
+   Each batch of texts settles the repeats that it can itself before the shuffle (a leader need only be earlier, not the first of all), so
+   a name that is very frequent sends one sample per batch.
 4. Merge: of the windows left that hold a sample with a name of two or more, each is extended to its L tokens and
    sorted by a 128-bit digest; adjacent equal windows are compared, and every one but the first of its run is a repeat. A window
    that stage 3 settled is never a first occurrence, so leaving those out loses nothing.
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +92,35 @@ def samples_of(n: int, task: Task) -> np.ndarray:
     return every[every <= n - task.sample]
 
 
+def _local(task: Task, key: list[np.ndarray], null: np.ndarray, doc: np.ndarray, told: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Combining rows before a shuffle: each row's local leader (the first of its key in the batch), whether the leader settles the
+    row as a repeat, and whether it settles any row of the key. Settled rows needn't meet the rest of their key."""
+    n = len(pos)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
+    order = np.lexsort((pos, told, doc, null, *reversed(key)))
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in key:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    lead = np.empty(n, np.int64)
+    lead[order] = order[first][run]
+    if task.across:
+        settled = ~null[lead] & (null | (doc != doc[lead]))
+    else:
+        settled = lead != np.arange(n)
+    some = np.empty(n, bool)
+    some[order] = np.logical_or.reduceat(settled[order], first)[run]
+    return lead, settled, some
+
+
 def _sampler(task: Task):
+    """Samples as rows. A sample that its batch settles carries its leader and is routed by itself, not by its digest; ``ask`` marks
+    others whose name the batch has proved to be repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -101,20 +132,25 @@ def _sampler(task: Task):
                         own.append(np.full(len(at), i))
                         hashes.append(digests(tokens, task.sample, _B1)[at])
                         places.append(at)
-                if own:
-                    index = pa.array(np.concatenate(own))
-                    for k in range(0, len(index), 1 << 18):
-                        part = slice(k, k + (1 << 18))
-                        take = index[part]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate(hashes)[part].view(np.int64)), pa.array(np.zeros(len(take), np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(places)[part].astype(np.int32)), pa.array(np.ones(len(take), bool))],
-                            ["k1", "k2", "doc_id", "told", "pos", "ask"],
-                        )
+                if not own:
+                    continue
+                own, hashes, places = np.concatenate(own), np.concatenate(hashes), np.concatenate(places)
+                null = batch.column(0).is_null().to_numpy(zero_copy_only=False)[own]
+                doc, told = batch.column(0).fill_null(0).to_numpy()[own], batch.column(1).to_numpy()[own]
+                lead, settled, some = _local(task, [hashes], null, doc, told, places)
+                route = np.where(settled, _scramble(hashes + doc.view(np.uint64) * _B2 + places.view(np.uint64)), hashes)
+                zero = lambda x: np.where(settled, x[lead], 0)
+                columns = [route.view(np.int64), settled.astype(np.int64), doc, told, places.astype(np.int32), some, zero(doc), zero(told), zero(places).astype(np.int32)]
+                for k in range(0, len(own), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    arrays = [pa.array(c[part], mask=null[part]) if i == 2 else pa.array(c[part]) for i, c in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays(arrays, _NAMES)
 
     return run
 
 
-_ROWS = "k1 long, k2 long, doc_id long, told long, pos int, ask boolean"
+_NAMES = ["k1", "k2", "doc_id", "told", "pos", "ask", "lead_doc", "lead_told", "lead_pos"]
+_ROWS = "k1 long, k2 long, doc_id long, told long, pos int, ask boolean, lead_doc long, lead_told long, lead_pos int"
 _NAMED = "doc_id long, told long, pos int, repeat boolean, lead_doc long, lead_told long, lead_pos int"
 
 
@@ -124,7 +160,8 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 def _names(task: Task, only_asked: bool):
     """Reads sorted rows and emits members of runs with a repeat, each with the run's leader. The rows that share the
-    leader's document come first; they are held until the run proves to have a repeat. ``only_asked``: just repeats with ``ask``."""
+    leader's document come first; they are held until the run proves to have a repeat. Rows settled before the shuffle pass. ``only_asked``:
+    just repeats with ``ask``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lead, held, proved = None, None, [], False
@@ -136,6 +173,12 @@ def _names(task: Task, only_asked: bool):
             )
 
         for batch in batches:
+            if not only_asked and batch.num_rows:
+                alone = pc.equal(batch.column(1), 1)
+                if pc.any(alone).as_py():
+                    own = batch.filter(alone)
+                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (2, 3, 4)), pa.array(np.ones(own.num_rows, bool)), *(own.column(k) for k in (6, 7, 8))], ["doc_id", "told", "pos", "repeat", "lead_doc", "lead_told", "lead_pos"])
+                    batch = batch.filter(pc.invert(alone))
             n = batch.num_rows
             if not n:
                 continue
@@ -157,7 +200,7 @@ def _names(task: Task, only_asked: bool):
             else:
                 repeat = np.ones(n, bool)
                 repeat[first[1:] if follows else first] = False
-            some = np.logical_or.reduceat(repeat, first)
+            some = np.logical_or.reduceat(repeat if only_asked else repeat | ask, first)
             if follows:
                 some[0] |= proved
                 if some[0] and not proved and not only_asked:
@@ -228,25 +271,33 @@ def _settler(task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts, covers, k1, k2, places, asks, results = [], [], [], [], [], [], []
-                for text, named in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    data = (text or "").encode()
-                    covered, at, ask = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, bool)
-                    if named:
-                        tokens = task.tokens(data)
-                        covered, at, ask = settle(len(tokens), named, task)
-                        k1.append(digests(tokens, task.length, _B1)[at].view(np.int64))
-                        k2.append(digests(_scramble(tokens), task.length, _B2)[at].view(np.int64))
-                    else:
-                        k1.append([])
-                        k2.append([])
-                    waits = bool(ask.any())
-                    runs = _runs(covered)
-                    texts.append(text if waits else None)
-                    covers.append(runs if waits else None)
-                    places.append(at.astype(np.int32))
+                data = [(t or "").encode() for t in batch.column(2).to_pylist()]
+                null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                doc, told = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+                covers, k1, k2, places, asks = [], [], [], [], []
+                for text, named in zip(data, batch.column(3).to_pylist(), strict=True):
+                    tokens = task.tokens(text) if named else np.empty(0, np.uint64)
+                    covered, at, ask = settle(len(tokens), named, task) if named else (np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, bool))
+                    covers.append(covered)
+                    k1.append(digests(tokens, task.length, _B1)[at])
+                    k2.append(digests(_scramble(tokens), task.length, _B2)[at])
+                    places.append(at)
                     asks.append(ask)
-                    results.append((None,) * len(types) if waits else finish(data, runs.reshape(-1, 2).astype(np.int64)))
+                own = np.repeat(np.arange(len(data)), [len(at) for at in places])
+                _, found, _ = _local(task, [np.concatenate(k1), np.concatenate(k2)], null[own], doc[own], told[own], np.concatenate(places))
+                texts, runs, results, stop = [], [], [], 0
+                for i, (text, covered, at, ask) in enumerate(zip(data, covers, places, asks, strict=True)):
+                    start, stop = stop, stop + len(at)
+                    known = found[start:stop]
+                    if (hit := at[known & ask]).size:
+                        covered = covered | _spans(hit, hit + task.length, len(covered))
+                    k1[i], k2[i], places[i], asks[i] = k1[i][~known].view(np.int64), k2[i][~known].view(np.int64), at[~known].astype(np.int32), ask[~known]
+                    waits = bool(asks[i].any())
+                    own_runs = _runs(covered)
+                    texts.append(text.decode() if waits else None)
+                    runs.append(own_runs if waits else None)
+                    results.append((None,) * len(types) if waits else finish(text, own_runs.reshape(-1, 2).astype(np.int64)))
+                covers = runs
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(covers, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.bool_())), *(pa.array([r[k] for r in results], t) for k, t in enumerate(types))],
                     ["doc_id", "told", "text", "covered", "k1", "k2", "pos", "ask", *names],
