@@ -34,9 +34,9 @@ def pruned_shingles(products: DataFrame, stops: DataFrame, k: int) -> DataFrame:
     products number at most (mean title length) / t, yet they are broadcast only if their measured size allows."""
     rows = shingle_rows(products, k)
     size = stops.agg(F.sum(F.octet_length("shingle") + 32)).first()[0] or 0
-    stops = stops.select("shingle")
+    stops = stops.select("shingle", F.lit(True).alias("is_stop"))
     named = F.broadcast(stops) if size <= BROADCAST_BYTES else stops
-    return rows.filter("is_short").select("id", "shingle").union(rows.filter("NOT is_short").join(named, "shingle", "left_anti").select("id", "shingle"))
+    return rows.join(named, "shingle", "left").filter("is_short OR is_stop IS NULL").select("id", "shingle")
 
 
 def word_rows(products: DataFrame, weight: int) -> DataFrame:

@@ -22,6 +22,7 @@ class LshParams:
         return self.bands * self.rows
 
 
+# The default thresholds and weights.
 @dataclass(frozen=True)
 class MatchParams:
     gamma: float = 0.718
@@ -33,6 +34,6 @@ class MatchParams:
     threshold: float = 0.5
 
 
-#: The published settings of the full and of the restricted model.
+# The published settings of the full and of the restricted model.
 FULL = (FeatureParams(4, 2, 0.0138), MatchParams(threshold=0.528))
 RESTRICTED = (FeatureParams(5, 0, 1.0), MatchParams(0.744, 0.381, 0.559, 0.567, 0.611, 0.215, 0.618))

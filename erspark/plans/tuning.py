@@ -14,7 +14,7 @@ from erspark.operators.features import hybrid_features
 from erspark.plans.lineage import cut
 from erspark.plans.params import FeatureParams, LshParams, MatchParams
 
-#: (low, high) of each parameter; integers are drawn as integers.
+# Fixed values: (low, high) of each parameter; integers are drawn as integers.
 SPACE = {
     "shingle_size": (2, 8), "mw_weight": (1, 16), "stop_shingle_freq": (0.0, 0.1), "gamma": (0.5, 0.95), "epsilon": (0.1, 0.9), "mu": (0.1, 0.9),
     "alpha": (0.1, 0.9), "beta": (0.1, 0.9), "delta": (0.1, 0.9), "threshold": (0.1, 0.9),
