@@ -5,6 +5,7 @@ from __future__ import annotations
 from erspark.operators import minhash, sampling
 
 _DOCS = "docs AS (SELECT doc_id AS id, md5(text) AS true_model_id, substr(coalesce(text, ''), 1, 200) AS title, coalesce(source, '') AS shop FROM documents)"
+_LIKE = "x.id < y.id AND x.brand = y.brand AND x.type = y.type AND x.screen = y.screen"
 _PARTS = """parts AS (SELECT p_partkey AS id, concat_ws('|', p_name, p_brand, p_type) AS true_model_id,
   p_brand || ' ' || p_name || ' ' || p_type || ' ' || p_size || ' inch M' || p_partkey || 'X' || p_size || ' ' || p_size || lower(substr(p_type, 1, 2)) AS title,
   'shop' || (p_partkey % 4) AS shop, p_brand AS brand, p_type AS type, p_size || '.5 inches' AS screen, p_size || ':9' AS ratio,
@@ -46,6 +47,39 @@ _COSINE = """toks AS (SELECT id1, id2, list_distinct(list_filter(regexp_split_to
 cosine AS (SELECT id1, id2, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / (sqrt(len(a)) * sqrt(len(b))) END AS cos FROM toks)""".replace("\\\\", "\\")
 
 
+def _grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, CAST(i AS INTEGER), 3)))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+def _greedy(on: str) -> str:
+    """The greedy matching as a recursion over the attributes of the first side; ``on`` says which parts x, y are pairs."""
+    words = _value_words("value").replace("lower(trim(w))", "trim(w)")
+    return f"""feats AS (SELECT id, unnest([1, 2, 3, 4, 5]) AS k, unnest(['Brand', 'Type', 'Screen Size', CASE WHEN id % 2 = 1 THEN 'Aspect Ratio' ELSE 'Ratio' END, CASE WHEN id % 2 = 1 THEN 'Native Resolution' ELSE 'Resolution (native)' END]) AS key,
+  unnest([brand, type, screen, ratio, res]) AS value FROM parts),
+fg AS (SELECT id, k, key, {_grams('key')} AS kg, {_grams('value')} AS vg, {words} AS mw FROM feats),
+pairs AS (SELECT x.id AS id1, y.id AS id2, x.title AS t1, y.title AS t2 FROM parts x JOIN parts y ON {on}),
+sims AS (SELECT id1, id2, x.k AS k1, x.key AS key1, y.k AS k2, {_jaccard('x.kg', 'y.kg')} AS ks, {_jaccard('x.vg', 'y.vg')} AS vs FROM pairs JOIN fg x ON x.id = id1 JOIN fg y ON y.id = id2),
+hits AS (SELECT id1, id2, k1, list({{'k2': k2, 'key1': key1, 'ks': ks, 'vs': vs}} ORDER BY k2) AS found FROM sims WHERE ks > CAST(0.718 AS DOUBLE) GROUP BY id1, id2, k1),
+r(id1, id2, k, used, matched, sim, w, m) AS (SELECT id1, id2, 0, CAST([] AS INTEGER[]), CAST([] AS VARCHAR[]), 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM pairs
+  UNION ALL SELECT id1, id2, k + 1, CASE WHEN h IS NULL THEN used ELSE list_append(used, h.k2) END, CASE WHEN h IS NULL THEN matched ELSE list_append(matched, h.key1) END,
+    sim + coalesce(h.ks * h.vs, 0), w + coalesce(h.ks, 0), m + CASE WHEN h IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT r.*, list_filter(found, lambda f: NOT list_contains(used, f.k2))[1] AS h FROM r LEFT JOIN hits ON hits.id1 = r.id1 AND hits.id2 = r.id2 AND hits.k1 = r.k + 1 WHERE r.k < 5)),
+greedy AS (SELECT * FROM r WHERE k = 5),
+w1 AS (SELECT id1, id2, list_distinct(flatten(list(mw))) AS a FROM greedy JOIN fg ON fg.id = id1 WHERE NOT list_contains(matched, key) GROUP BY id1, id2),
+w2 AS (SELECT id1, id2, list_distinct(flatten(list(mw))) AS b FROM greedy JOIN fg ON fg.id = id2 WHERE NOT list_contains(used, fg.k) GROUP BY id1, id2),
+blocks AS (SELECT p.id1, p.id2, x.shop = y.shop OR lower(x.brand) <> lower(y.brand) OR x.res <> y.res AS blocked FROM pairs p JOIN parts x ON x.id = p.id1 JOIN parts y ON y.id = p.id2),
+ovl AS (SELECT id1, id2, blocked, {_jaccard("coalesce(a, CAST([] AS VARCHAR[]))", "coalesce(b, CAST([] AS VARCHAR[]))")} AS overlap FROM blocks LEFT JOIN w1 USING (id1, id2) LEFT JOIN w2 USING (id1, id2))"""
+
+
+_TITLE_SIM = """tblend AS (SELECT id1, id2, cos, coalesce(unlike, FALSE) AS unlike, coalesce(alike, FALSE) AS alike, coalesce(strict, 0) AS strict,
+  CAST(0.859 AS DOUBLE) * cos + (1 - CAST(0.859 AS DOUBLE)) * coalesce(lenient, 0) AS s FROM cosine LEFT JOIN ws USING (id1, id2)),
+tsim AS (SELECT id1, id2, CASE WHEN cos > CAST(0.558 AS DOUBLE) THEN 1.0 WHEN unlike THEN -1.0 WHEN alike THEN CAST(0.19 AS DOUBLE) * strict + (1 - CAST(0.19 AS DOUBLE)) * s ELSE s END AS t FROM tblend)"""
+
+
 def _oob() -> str:
     return ", ".join(f"({seed}, {k})" for seed in range(3) for k in sampling.out_of_bag_positions(25, seed))
 
@@ -103,4 +137,11 @@ SELECT node, min(reached) AS component FROM r GROUP BY node""",
 CAST(0.528 AS DOUBLE) AS "Threshold", 4 AS "Shingle_Size", mw AS "MW_Weight", CAST(stop AS DOUBLE) AS "Stop_Freq", CAST(0.718 AS DOUBLE) AS "Gamma", CAST(0.454 AS DOUBLE) AS "Epsilon", CAST(0.819 AS DOUBLE) AS "Mu",
 CAST(0.558 AS DOUBLE) AS "Alpha", CAST(0.859 AS DOUBLE) AS "Beta", CAST(0.190 AS DOUBLE) AS "Delta" FROM range(2, 201) r(b), (VALUES (0), (2)) m(mw), (VALUES (0.0138), (1.0)) s(stop) WHERE 200 // b <> 1""",
     "grid_summary": """SELECT n_regionkey, round(avg(length(n_name) / 10), 6) AS mean_f1, round(avg(length(n_name) / 20), 6) AS mean_f1_star FROM nation GROUP BY n_regionkey""",
+    "key_value_match": f"WITH RECURSIVE {_PARTS}, {_greedy('y.id = x.id + 1')} SELECT id1, id2, round(sim, 6) AS sim, round(w, 6) AS w, m, array_to_string(list_sort(matched), '|') AS matched FROM greedy",
+    "mw_overlap": f"WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)} SELECT id1, id2, CASE WHEN NOT blocked THEN round(overlap, 6) END AS overlap FROM ovl",
+    "pair_similarity": f"""WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)}, {_COSINE}, {_WORD_PAIRS}, {_TITLE_SIM},
+scored AS (SELECT id1, id2, CASE WHEN blocked THEN 0.0 WHEN t = -1 THEN m / 5.0::DOUBLE * mean + (1 - m / 5.0::DOUBLE) * overlap
+  ELSE (1 - mu) * m / 5 * mean + (1 - mu - (1 - mu) * m / 5) * overlap + mu * t END AS sim
+  FROM (SELECT g.id1, g.id2, o.blocked, t.t, g.m, CASE WHEN g.w = 0 THEN 0 ELSE g.sim / g.w END AS mean, o.overlap, CAST(0.819 AS DOUBLE) AS mu FROM greedy g JOIN ovl o USING (id1, id2) JOIN tsim t USING (id1, id2)))
+SELECT id1, id2, round(sim, 6) AS sim, round(1 - sim, 6) AS dist FROM scored""",
 }
