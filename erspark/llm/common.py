@@ -3,7 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drawn_by_hash(rows: DataFrame, group: str, sizes: dict, wanted: dict) -> DataFrame:
+    """About the ``wanted`` number of rows of each group, and no more: those with the smallest hash of doc_id. The groups' ``sizes`` give a
+    hash bound that few more pass, so ranking sees a bounded number of rows however large a group is."""
+    span = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
+    bound = F.lit(0)
+    for value, size in sizes.items():
+        most = span if size <= 4 * wanted[value] else span * 2 * wanted[value] // size
+        bound = F.when(F.col(group) == value, most).otherwise(bound)
+    limit = F.lit(0)
+    for value in sizes:
+        limit = F.when(F.col(group) == value, wanted[value]).otherwise(limit)
+    some = rows.filter(place < bound).withColumn("hash_place", place)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("hash_place", "doc_id"))
+    return some.withColumn("hash_rank", rank).filter(F.col("hash_rank") <= limit).drop("hash_place", "hash_rank")

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
+from erspark.llm.common import drawn_by_hash
 from erspark.llm.linear import sigmoid, svm
 from erspark.plans.lineage import cut, small_batches
 
@@ -114,8 +114,8 @@ def fit(docs: DataFrame) -> Hierarchy | None:
     if not sizes:
         return None
     each = max(1, TRAIN_DOCS // len(sizes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.filter(F.col("lang").isin([r.lang for r in sizes])).select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= each)
+    listed = usable.select("lang", "doc_id").filter(F.col("lang").isin([r.lang for r in sizes]))
+    chosen = drawn_by_hash(listed, "lang", {r.lang: r["count"] for r in sizes}, {r.lang: each for r in sizes})
     chosen = cut(chosen.select(F.col("doc_id").alias("chosen_id")).distinct())
     sample = usable.select("lang", "text", "doc_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi").select("lang", "text")
     rows = sample.mapInArrow(_rows, "lang string, x binary").limit(TRAIN_DOCS + MAX_LANGS).toPandas().sort_values(["lang", "x"])

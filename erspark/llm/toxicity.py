@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
+from erspark.llm.common import drawn_by_hash
 from erspark.llm.langid import held_out
 from erspark.llm.linear import logistic, sigmoid
 from erspark.plans.lineage import cut, small_batches
@@ -128,8 +128,9 @@ class Chain:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain | None:
     told = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = told.filter("toxic IN (0, 1)").withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("toxic") == 1, TRAIN_TOXIC).otherwise(TRAIN_CLEAN))
+    told = cut(told.filter("toxic IN (0, 1)"))
+    sizes = {r.toxic: r["count"] for r in told.groupBy("toxic").count().collect()}
+    chosen = drawn_by_hash(told, "toxic", sizes, {0: TRAIN_CLEAN, 1: TRAIN_TOXIC})
     chosen = cut(chosen.select(F.col("doc_id").alias("chosen_id"), "toxic"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.col("toxic").cast("long").alias("toxic"), "text")
     rows = sample.mapInArrow(_rows, "toxic long, seeds long, x binary").limit(TRAIN_TOXIC + TRAIN_CLEAN).toPandas()
