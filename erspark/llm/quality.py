@@ -43,6 +43,7 @@ GRID = 50
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _BANG = re.compile(r"[!?]")
+_SPACES = {c: " " for c in range(9, 14)}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField(m, DoubleType()) for m in METRICS])
@@ -86,7 +87,7 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in data.split(b"\n") if x.split()]
     dups = len(lines) - len(set(lines))
     repeats = repeat_words(words)
-    caps = sum(w.isupper() for w in text.split()) if n else 0
+    caps = sum(w == w.upper() and w != w.lower() for w in text.translate(_SPACES).split(" ")) if n else 0
     stutters = sum(a == b for a, b in pairwise(words))
     return (
         n, chars, symbols, dups, repeats,

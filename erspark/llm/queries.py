@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
     "op3_suffix_dedup": oracles.SUFFIXES,
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op4_decontamination": oracles.DECONTAM,
