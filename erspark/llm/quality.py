@@ -87,7 +87,7 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in data.split(b"\n") if x.split()]
     dups = len(lines) - len(set(lines))
     repeats = repeat_words(words)
-    caps = sum(w == w.upper() and w != w.lower() for w in text.translate(_SPACES).split(" ")) if n else 0
+    caps = sum(map(bytes.isupper, words)) if len(text) == len(data) else sum(map(str.isupper, text.translate(_SPACES).split(" ")))
     stutters = sum(a == b for a, b in pairwise(words))
     return (
         n, chars, symbols, dups, repeats,
