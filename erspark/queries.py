@@ -1,6 +1,7 @@
 """The registered queries of the entity-resolution operators, and their DuckDB SQL.
 
-Documents serve as products with their head as title; parts serve where model words are needed. Pairs for the leaf measures are
+Documents serve as products with their head as title where SQL fixes the result, and with their whole text in the queries named
+``..._whole`` and in those without SQL; parts serve where model words are needed. Pairs for the leaf measures are
 parts whose keys differ by a fixed step, so both sides run over all rows.
 """
 
@@ -33,6 +34,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_view(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def whole_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_view(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=None)
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_view(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
@@ -58,33 +63,33 @@ def _r(c):
     return F.round(c, 6)
 
 
-def near_duplicate_pairs(spark, d):
+def near_duplicate_pairs(spark, d, view=docs):
     """Candidate pairs by MinHash and LSH with the exact Jaccard index of their shingles."""
-    products = docs(spark, d)
+    products = view(spark, d)
     shingles = cut(products.select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features")))
     pairs = lsh.candidate_pairs(cut(minhash.signatures(shingles, SMALL.size)), SMALL)
     a, b = (shingles.select(F.col("id").alias(f"id{n}"), F.col("features").alias(f"s{n}")) for n in (1, 2))
     return pairs.join(a, "id1").join(b, "id2").select("id1", "id2", _r(S.jaccard_of_sets(F.col("s1"), F.col("s2"))).alias("jaccard"))
 
 
-def clean_text(spark, d):
-    return docs(spark, d).select("id", T.clean_text(F.col("title")).alias("cleaned"))
+def clean_text(spark, d, view=docs):
+    return view(spark, d).select("id", T.clean_text(F.col("title")).alias("cleaned"))
 
 
-def char_shingles(spark, d):
-    return feat.shingle_rows(docs(spark, d), K).select("id", "shingle")
+def char_shingles(spark, d, view=docs):
+    return feat.shingle_rows(view(spark, d), K).select("id", "shingle")
 
 
-def shingle_df(spark, d):
-    return feat.document_frequency(docs(spark, d), K)
+def shingle_df(spark, d, view=docs):
+    return feat.document_frequency(view(spark, d), K)
 
 
-def stop_shingles(spark, d):
-    return feat.stop_shingles(docs(spark, d), K, FULL[0].stop_share)
+def stop_shingles(spark, d, view=docs):
+    return feat.stop_shingles(view(spark, d), K, FULL[0].stop_share)
 
 
-def pruned_shingles(spark, d):
-    products = docs(spark, d)
+def pruned_shingles(spark, d, view=docs):
+    products = view(spark, d)
     return feat.pruned_shingles(products, feat.stop_shingles(products, K, FULL[0].stop_share), K).select("id", "shingle")
 
 
@@ -104,17 +109,17 @@ def hybrid_features(spark, d):
     return feat.hybrid_feature_rows(parts(spark, d), FULL[0])
 
 
-def feature_hash(spark, d):
-    return feat.shingle_rows(docs(spark, d), K).select("shingle").distinct().select("shingle", F.crc32(F.col("shingle").cast("binary")).alias("hash"))
+def feature_hash(spark, d, view=docs):
+    return feat.shingle_rows(view(spark, d), K).select("shingle").distinct().select("shingle", F.crc32(F.col("shingle").cast("binary")).alias("hash"))
 
 
-def minhash_signature(spark, d):
-    shingles = docs(spark, d).select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features"))
+def minhash_signature(spark, d, view=docs):
+    shingles = view(spark, d).select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features"))
     return minhash.signatures(shingles, HASHES).select("id", F.posexplode("sig").alias("position", "value"))
 
 
-def lsh_candidates(spark, d):
-    return near_duplicate_pairs(spark, d).select("id1", "id2")
+def lsh_candidates(spark, d, view=docs):
+    return near_duplicate_pairs(spark, d, view).select("id1", "id2")
 
 
 def lsh_pair_rows(spark, d):
@@ -193,7 +198,7 @@ def components(spark, d):
 
 
 def clusters(spark, d):
-    products = docs(spark, d)
+    products = whole_docs(spark, d)
     pairs = cut(candidates(products, FULL[0], WIDE))
     return clustering.without_singletons(clustering.clusters(matching.pair_similarity(pairs, products, FULL[1]), FULL[1].epsilon))
 
@@ -210,16 +215,16 @@ def true_pairs(spark, d):
     return metrics.true_pairs(docs(spark, d))
 
 
-def pair_metrics(spark, d):
+def pair_metrics(spark, d, view=docs):
     """PQ, PC, F1* and the fraction of comparisons of the LSH candidates; the candidates serve as predictions too."""
-    products = docs(spark, d)
-    pairs = cut(near_duplicate_pairs(spark, d).select("id1", "id2"))
+    products = view(spark, d)
+    pairs = cut(near_duplicate_pairs(spark, d, view).select("id1", "id2"))
     m = metrics.metrics(metrics.counts(pairs, pairs, metrics.true_pairs(products)), F.lit(products.count()))
     return m.select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
 
 
 def cluster_metrics(spark, d):
-    return evaluate(docs(spark, d), FULL[0], WIDE, FULL[1]).select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
+    return evaluate(whole_docs(spark, d), FULL[0], WIDE, FULL[1]).select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
 
 
 def bootstrap_oob(spark, d):
@@ -238,7 +243,7 @@ def grid_summary(spark, d):
 
 def _small_grid(spark, d):
     values = sweep.grid(pairs=[LshParams(8, 2), LshParams(4, 4)], bootstraps=2)
-    return sweep.run_grid(docs(spark, d), values)
+    return sweep.run_grid(whole_docs(spark, d), values)
 
 
 def grid_search(spark, d):
@@ -250,6 +255,14 @@ def curve(spark, d):
     return curves.performance_curve(results)
 
 
+def _whole(query):
+    def run(spark, d):
+        return query(spark, d, whole_docs)
+
+    run.__name__ = f"{query.__name__}_whole"
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -259,3 +272,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_metrics, cluster_metrics, bootstrap_oob, grid_configs, grid_summary, grid_search, curve,
     )
 }
+QUERIES |= {
+    f.__name__: f
+    for f in map(_whole, (
+        near_duplicate_pairs, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, feature_hash, minhash_signature, lsh_candidates, pair_metrics,
+    ))
+}

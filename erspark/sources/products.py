@@ -28,10 +28,12 @@ def _feature(key, value):
     return F.struct(key.alias("key"), F.coalesce(value, F.lit("")).alias("value"))
 
 
-def documents_view(documents: DataFrame, length: int = 200) -> DataFrame:
-    """Documents as products: the head of the text as title, the source as shop, exact copies as truth."""
+def documents_view(documents: DataFrame, length: int | None = 200) -> DataFrame:
+    """Documents as products: the head of the text (all of it if ``length`` is None) as title, the source as shop, exact copies as truth."""
+    text = F.coalesce("text", F.lit(""))
+    title = text if length is None else F.substring(text, 1, length)
     return documents.select(
-        F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("true_model_id"), F.substring(F.coalesce("text", F.lit("")), 1, length).alias("title"),
+        F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("true_model_id"), title.alias("title"),
         F.coalesce("source", F.lit("")).alias("shop"), F.array(_feature("Brand", F.col("lang")), _feature("n_chars", F.col("n_chars").cast("string"))).alias("features"),
     )
 
