@@ -45,7 +45,8 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 @dataclass(frozen=True)
 class Task:
     """What a window is. ``tokens`` gives a number for each token of a text; with ``across`` only windows of a smaller
-    doc_id make a repeat, otherwise also earlier ones of the same text."""
+    doc_id make a repeat, otherwise also earlier ones of the same text. Equal rows (doc_id and text) are one text: the window at the
+    same place of an equal row is no repeat."""
 
     length: int
     period: int
@@ -111,7 +112,7 @@ def _local(task: Task, key: list[np.ndarray], null: np.ndarray, doc: np.ndarray,
     if task.across:
         settled = ~null[lead] & (null | (doc != doc[lead]))
     else:
-        settled = lead != np.arange(n)
+        settled = (null != null[lead]) | (doc != doc[lead]) | (told != told[lead]) | (pos != pos[lead])
     some = np.empty(n, bool)
     some[order] = np.logical_or.reduceat(settled[order], first)[run]
     return lead, settled, some
@@ -198,8 +199,7 @@ def _names(task: Task, only_asked: bool):
             if task.across:
                 repeat = (doc != own[:, 0]) & ~null & (own[:, 1] == 0) | null & (own[:, 1] == 0)
             else:
-                repeat = np.ones(n, bool)
-                repeat[first[1:] if follows else first] = False
+                repeat = (doc != own[:, 0]) | (null != (own[:, 1] == 1)) | (told != own[:, 2]) | (pos != own[:, 3])
             some = np.logical_or.reduceat(repeat if only_asked else repeat | ask, first)
             if follows:
                 some[0] |= proved
@@ -211,10 +211,15 @@ def _names(task: Task, only_asked: bool):
                 held = []
             last = len(first) - 1
             out = repeat & ask if only_asked else some[run_no]
+            once = np.ones(n, bool)
+            if not task.across:
+                once = repeat.copy()
+                once[first[1:] if follows else first] = True
+                out &= once
             if out.any():
                 yield emit(doc[out], null[out], told[out], pos[out], repeat[out], own[out, 0], own[out, 2], own[out, 3])
             if not some[last] and not only_asked:
-                wait = run_no == last
+                wait = (run_no == last) & once
                 held = (held if follows and last == 0 else []) + [emit(doc[wait], null[wait], told[wait], pos[wait], repeat[wait], own[wait, 0], own[wait, 2], own[wait, 3])]
             key, lead, proved = (k1[-1], k2[-1]), leads[last], bool(some[last])
 
