@@ -16,13 +16,9 @@ def drawn_by_hash(rows: DataFrame, group: str, sizes: dict, wanted: dict) -> Dat
     hash bound that few more pass, so ranking sees a bounded number of rows however large a group is."""
     span = 1 << 30
     place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    bound = F.lit(0)
-    for value, size in sizes.items():
-        most = span if size <= 4 * wanted[value] else span * 2 * wanted[value] // size
-        bound = F.when(F.col(group) == value, most).otherwise(bound)
-    limit = F.lit(0)
-    for value in sizes:
-        limit = F.when(F.col(group) == value, wanted[value]).otherwise(limit)
+    most = {value: span if size <= 4 * wanted[value] else span * 2 * wanted[value] // size for value, size in sizes.items()}
+    of = lambda numbers: F.lit(0) if not numbers else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in numbers.items() for x in item]), F.col(group)), F.lit(0))
+    bound, limit = of(most), of({value: wanted[value] for value in sizes})
     some = rows.filter(place < bound).withColumn("hash_place", place)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("hash_place", "doc_id"))
     return some.withColumn("hash_rank", rank).filter(F.col("hash_rank") <= limit).drop("hash_place", "hash_rank")

@@ -5,11 +5,13 @@ vector machines on the same features vote for the language. Features are hashed
 square roots of their shares, scaled to length 1.
 
 The models learn from at most ``TRAIN_DOCS`` documents in all, dealt evenly over the languages (a bound that does not grow with
-the corpus), whose crc32(doc_id) mod 5 is not 0. Neither lang, source nor doc_id enters a prediction.
+the corpus), or one of each language if there are more languages than that, whose crc32(doc_id) mod 5 is not 0. Neither lang, source nor
+doc_id enters a prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to learn from; with
-one language, it is predicted always; at most ``MAX_LANGS`` languages (those with most documents) are learned; a null doc_id is never
-held out and never learned from; repeated rows give repeated rows; extra columns are ignored.
+one language, it is predicted always; every language with a document to learn from is learned, however many there are; a null doc_id is never
+held out and never learned from; of rows with equal lang and doc_id the least text is learned; repeated rows give repeated rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +43,9 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 DIMS = 4096
 TRAIN_DOCS = 4000
-MAX_LANGS = 100
 FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
+_SOME_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 _STEP = 1 << 20
 
 
@@ -109,16 +111,17 @@ class Hierarchy:
 
 def fit(docs: DataFrame) -> Hierarchy | None:
     """Learn from the documents that aren't held out."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(_SOME_LETTER))
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return None
     each = max(1, TRAIN_DOCS // len(sizes))
-    listed = usable.select("lang", "doc_id").filter(F.col("lang").isin([r.lang for r in sizes]))
+    listed = usable.select("lang", "doc_id")
     chosen = drawn_by_hash(listed, "lang", {r.lang: r["count"] for r in sizes}, {r.lang: each for r in sizes})
-    chosen = cut(chosen.select(F.col("doc_id").alias("chosen_id")).distinct())
-    sample = usable.select("lang", "text", "doc_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi").select("lang", "text")
-    rows = sample.mapInArrow(_rows, "lang string, x binary").limit(TRAIN_DOCS + MAX_LANGS).toPandas().sort_values(["lang", "x"])
+    chosen = cut(chosen.select(F.col("lang").alias("chosen_lang"), F.col("doc_id").alias("chosen_id")).distinct())
+    met = (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))
+    sample = usable.select("lang", "text", "doc_id").join(F.broadcast(chosen), met, "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = sample.select("lang", "text").mapInArrow(_rows, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     langs = sorted(set(rows.lang))
     if not langs:
         return None
