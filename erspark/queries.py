@@ -157,8 +157,9 @@ def title_comp(spark, d):
 
 
 def brands(spark, d):
-    known = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().orderBy("p_brand").limit(1000).collect()]
-    return parts(spark, d).select("id", T.brand(F.col("title"), F.filter("features", lambda f: (f["key"] != "Brand") | (F.col("id") % 2 == 0)), known).alias("brand"))
+    products = parts(spark, d).select("id", "title", F.filter("features", lambda f: (f["key"] != "Brand") | (F.col("id") % 2 == 0)).alias("features"))
+    known = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand")).distinct()
+    return matching.brands(products, known)
 
 
 def resolutions(spark, d):
