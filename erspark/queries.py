@@ -233,6 +233,12 @@ def bootstrap_oob(spark, d):
     return sampling.out_of_bag(sampling.numbered(region), range(3), region.count())
 
 
+def bootstrap_oob_documents(spark, d):
+    """Out-of-bag rows of a table that grows."""
+    rows = cut(sampling.numbered(whole_docs(spark, d).select("id")))
+    return sampling.out_of_bag(rows, range(3), rows.count())
+
+
 def grid_configs(spark, d):
     return sweep.grid_configs(spark, sweep.grid() | {"MW_WEIGHT": [0, 2], "STOP_FREQ": [0.0138, 1.0]})
 
@@ -270,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         near_duplicate_pairs, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, title_model_words, attr_model_words, brand_words,
         hybrid_features, feature_hash, minhash_signature, lsh_candidates, lsh_pair_rows, token_cosine, kgram_jaccard, norm_levenshtein, alnum_split, weighted_mw, title_comp,
         brands, resolutions, block_checks, key_value_match, mw_overlap, pair_similarity, components, clusters, cluster_pairs, transitive_pairs, true_pairs,
-        pair_metrics, cluster_metrics, bootstrap_oob, grid_configs, grid_summary, grid_search, curve,
+        pair_metrics, cluster_metrics, bootstrap_oob, bootstrap_oob_documents, grid_configs, grid_summary, grid_search, curve,
     )
 }
 QUERIES |= {
