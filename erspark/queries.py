@@ -248,18 +248,16 @@ def grid_summary(spark, d):
     return part.groupBy("n_regionkey").agg(_r(F.avg(F.col("n") / 10)).alias("mean_f1"), _r(F.avg(F.col("n") / 20)).alias("mean_f1_star")).orderBy(F.desc("mean_f1_star"), "n_regionkey")
 
 
-def _small_grid(spark, d):
-    values = sweep.grid(pairs=[LshParams(8, 2), LshParams(4, 4)], bootstraps=2)
-    return sweep.run_grid(whole_docs(spark, d), values)
+def _published_grid(spark, d):
+    return sweep.run_grid(whole_docs(spark, d), sweep.grid())
 
 
 def grid_search(spark, d):
-    return _small_grid(spark, d)
+    return _published_grid(spark, d)
 
 
 def curve(spark, d):
-    results = _small_grid(spark, d)
-    return curves.performance_curve(results)
+    return curves.performance_curve(_published_grid(spark, d))
 
 
 def _whole(query):
