@@ -22,3 +22,18 @@ def drawn_by_hash(rows: DataFrame, group: str, sizes: dict, wanted: dict) -> Dat
     some = rows.filter(place < bound).withColumn("hash_place", place)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("hash_place", "doc_id"))
     return some.withColumn("hash_rank", rank).filter(F.col("hash_rank") <= limit).drop("hash_place", "hash_rank")
+
+
+#: Bits of the bitmap of ``marked``: 8 MB, whatever the tables hold.
+MARK_BITS = 26
+
+
+def marked(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` split in two: those that may have a row in ``members`` (equal doc_id and told), and those that surely have none. The split is
+    made by a bitmap of 2^MARK_BITS hashed places, so what is broadcast has a fixed size; as it fills, more rows count as possible members, none is lost."""
+    place = F.pmod(F.xxhash64("doc_id", "told"), F.lit(1 << MARK_BITS))
+    bits = members.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("mark_bucket")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("mark_bits"))
+    met = rows.join(F.broadcast(bits), F.shiftright(place, 15) == F.col("mark_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("mark_bits", (F.shiftright(place, 3) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return met.filter(bit).select(*rows.columns), met.filter(~bit).select(*rows.columns)

@@ -11,11 +11,12 @@ position of D in both. The stages, for windows of L tokens:
    stretch also stands at the leaders' place; windows inside it are settled.
    Each batch of texts settles the repeats that it can itself before the shuffle (a leader need only be earlier, not the first of all), so
    a name that is very frequent sends one sample per batch.
-4. Merge: of the windows left that hold a sample with a name of two or more, each is extended to its L tokens and
-   sorted by a 128-bit digest; adjacent equal windows are compared, and every one but the first of its run is a repeat. A window
+4. Extend: of the windows left that hold a sample with a name of two or more, each is extended to its L tokens and
+   sorted by a 128-bit digest; every equal neighbour but the first of its run is a repeat. A window
    that stage 3 settled is never a first occurrence, so leaving those out loses nothing.
 
-Texts meet their samples by an equi-join on (doc_id, hash of the text); no group is collected.
+Only texts that may hold a repeated sample are shuffled, once: a bitmap of fixed size (``common.marked``) lets all others finish in the
+scan, and the exchange of the texts serves both the extension and the result. Texts are in no stored table. No group is collected.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from erspark.llm.common import marked
 from erspark.plans.lineage import small_batches, stored
 
 #: Perfect difference sets by period.
@@ -44,14 +46,11 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Task:
-    """What a window is. ``tokens`` gives a number for each token of a text; with ``across`` only windows of a smaller
-    doc_id make a repeat, otherwise also earlier ones of the same text. Equal rows (doc_id and text) are one text: the window at the
-    same place of an equal row is no repeat."""
+    """What a window is. ``tokens`` gives a number for each token of a text. Only windows of a smaller doc_id make a repeat."""
 
     length: int
     period: int
     tokens: Callable[[bytes], np.ndarray]
-    across: bool
 
     @property
     def sample(self) -> int:
@@ -93,7 +92,7 @@ def samples_of(n: int, task: Task) -> np.ndarray:
     return every[every <= n - task.sample]
 
 
-def _local(task: Task, key: list[np.ndarray], null: np.ndarray, doc: np.ndarray, told: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _local(key: list[np.ndarray], null: np.ndarray, doc: np.ndarray, told: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Combining rows before a shuffle: each row's local leader (the first of its key in the batch), whether the leader settles the
     row as a repeat, and whether it settles any row of the key. Settled rows needn't meet the rest of their key."""
     n = len(pos)
@@ -109,10 +108,7 @@ def _local(task: Task, key: list[np.ndarray], null: np.ndarray, doc: np.ndarray,
     run = np.cumsum(new) - 1
     lead = np.empty(n, np.int64)
     lead[order] = order[first][run]
-    if task.across:
-        settled = ~null[lead] & (null | (doc != doc[lead]))
-    else:
-        settled = (null != null[lead]) | (doc != doc[lead]) | (told != told[lead]) | (pos != pos[lead])
+    settled = ~null[lead] & (null | (doc != doc[lead]))
     some = np.empty(n, bool)
     some[order] = np.logical_or.reduceat(settled[order], first)[run]
     return lead, settled, some
@@ -138,7 +134,7 @@ def _sampler(task: Task):
                 own, hashes, places = np.concatenate(own), np.concatenate(hashes), np.concatenate(places)
                 null = batch.column(0).is_null().to_numpy(zero_copy_only=False)[own]
                 doc, told = batch.column(0).fill_null(0).to_numpy()[own], batch.column(1).to_numpy()[own]
-                lead, settled, some = _local(task, [hashes], null, doc, told, places)
+                lead, settled, some = _local([hashes], null, doc, told, places)
                 route = np.where(settled, _scramble(hashes + doc.view(np.uint64) * _B2 + places.view(np.uint64)), hashes)
                 zero = lambda x: np.where(settled, x[lead], 0)
                 columns = [route.view(np.int64), settled.astype(np.int64), doc, told, places.astype(np.int32), some, zero(doc), zero(told), zero(places).astype(np.int32)]
@@ -159,26 +155,26 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.col("doc_id").asc_nulls_last(), "told", "pos")
 
 
-def _names(task: Task, only_asked: bool):
+def _names(only_asked: bool):
     """Reads sorted rows and emits members of runs with a repeat, each with the run's leader. The rows that share the
-    leader's document come first; they are held until the run proves to have a repeat. Rows settled before the shuffle pass. ``only_asked``:
-    just repeats with ``ask``."""
+    leader's document come first; they are held until the run proves to have a repeat. Rows with k2 = 1 were settled before the shuffle
+    and pass. ``only_asked``: just repeats with ``ask``, and rows that pass don't count as repeats."""
+    names = ["doc_id", "told", "pos", "repeat", "lead_doc", "lead_told", "lead_pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lead, held, proved = None, None, [], False
 
         def emit(doc, null, told, pos, repeat, lead_doc, lead_told, lead_pos):
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, mask=null), pa.array(told), pa.array(pos.astype(np.int32)), pa.array(repeat), pa.array(lead_doc), pa.array(lead_told), pa.array(lead_pos.astype(np.int32))],
-                ["doc_id", "told", "pos", "repeat", "lead_doc", "lead_told", "lead_pos"],
+                [pa.array(doc, mask=null), pa.array(told), pa.array(pos.astype(np.int32)), pa.array(repeat), pa.array(lead_doc), pa.array(lead_told), pa.array(lead_pos.astype(np.int32))], names
             )
 
         for batch in batches:
-            if not only_asked and batch.num_rows:
+            if batch.num_rows:
                 alone = pc.equal(batch.column(1), 1)
                 if pc.any(alone).as_py():
                     own = batch.filter(alone)
-                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (2, 3, 4)), pa.array(np.ones(own.num_rows, bool)), *(own.column(k) for k in (6, 7, 8))], ["doc_id", "told", "pos", "repeat", "lead_doc", "lead_told", "lead_pos"])
+                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (2, 3, 4)), pa.array(np.full(own.num_rows, not only_asked)), *(own.column(k) for k in (6, 7, 8))], names)
                     batch = batch.filter(pc.invert(alone))
             n = batch.num_rows
             if not n:
@@ -196,10 +192,7 @@ def _names(task: Task, only_asked: bool):
             if follows:
                 leads[0] = lead
             own = leads[run_no]
-            if task.across:
-                repeat = (doc != own[:, 0]) & ~null & (own[:, 1] == 0) | null & (own[:, 1] == 0)
-            else:
-                repeat = (doc != own[:, 0]) | (null != (own[:, 1] == 1)) | (told != own[:, 2]) | (pos != own[:, 3])
+            repeat = ((doc != own[:, 0]) | null) & (own[:, 1] == 0)
             some = np.logical_or.reduceat(repeat if only_asked else repeat | ask, first)
             if follows:
                 some[0] |= proved
@@ -211,15 +204,10 @@ def _names(task: Task, only_asked: bool):
                 held = []
             last = len(first) - 1
             out = repeat & ask if only_asked else some[run_no]
-            once = np.ones(n, bool)
-            if not task.across:
-                once = repeat.copy()
-                once[first[1:] if follows else first] = True
-                out &= once
             if out.any():
                 yield emit(doc[out], null[out], told[out], pos[out], repeat[out], own[out, 0], own[out, 2], own[out, 3])
             if not some[last] and not only_asked:
-                wait = (run_no == last) & once
+                wait = run_no == last
                 held = (held if follows and last == 0 else []) + [emit(doc[wait], null[wait], told[wait], pos[wait], repeat[wait], own[wait, 0], own[wait, 2], own[wait, 3])]
             key, lead, proved = (k1[-1], k2[-1]), leads[last], bool(some[last])
 
@@ -261,64 +249,57 @@ def settle(n: int, named: list[dict], task: Task) -> tuple[np.ndarray, np.ndarra
     return covered, at, ask[at]
 
 
-_PENDING = "doc_id long, told long, text string, covered array<int>, k1 array<long>, k2 array<long>, pos array<int>, ask array<boolean>"
-
-
 def _runs(flags: np.ndarray) -> np.ndarray:
-    """Flags as alternating run bounds: start, stop, start, stop ..."""
-    return np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).astype(np.int32)
+    """Flags as rows (start, stop) of their runs."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).reshape(-1, 2)
 
 
-def _settler(task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType]):
-    """Rows (doc_id, told, text, named). A text without open questions is finished at once and leaves without its words; any other
-    waits, with its covered runs and the windows that it asks about. Windows of both kinds enter the merge."""
+def _extender(task: Task):
+    """Rows (doc_id, told, text, named) to rows of the merge: windows that are still open, by their whole digest, and the runs that
+    samples have settled, which pass (k2 = 1) with their stop as lead_pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                data = [(t or "").encode() for t in batch.column(2).to_pylist()]
                 null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
                 doc, told = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
-                covers, k1, k2, places, asks = [], [], [], [], []
-                for text, named in zip(data, batch.column(3).to_pylist(), strict=True):
-                    tokens = task.tokens(text) if named else np.empty(0, np.uint64)
-                    covered, at, ask = settle(len(tokens), named, task) if named else (np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, bool))
-                    covers.append(covered)
+                own, k1, k2, places, asks, runs = [], [], [], [], [], []
+                for i, (text, named) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                    tokens = task.tokens((text or "").encode())
+                    covered, at, ask = settle(len(tokens), named, task)
                     k1.append(digests(tokens, task.length, _B1)[at])
-                    k2.append(digests(_scramble(tokens), task.length, _B2)[at])
+                    k2.append(digests(_scramble(tokens), task.length, _B2)[at] | np.uint64(2))
                     places.append(at)
                     asks.append(ask)
-                own = np.repeat(np.arange(len(data)), [len(at) for at in places])
-                _, found, _ = _local(task, [np.concatenate(k1), np.concatenate(k2)], null[own], doc[own], told[own], np.concatenate(places))
-                texts, runs, results, stop = [], [], [], 0
-                for i, (text, covered, at, ask) in enumerate(zip(data, covers, places, asks, strict=True)):
-                    start, stop = stop, stop + len(at)
-                    known = found[start:stop]
-                    if (hit := at[known & ask]).size:
-                        covered = covered | _spans(hit, hit + task.length, len(covered))
-                    k1[i], k2[i], places[i], asks[i] = k1[i][~known].view(np.int64), k2[i][~known].view(np.int64), at[~known].astype(np.int32), ask[~known]
-                    waits = bool(asks[i].any())
-                    own_runs = _runs(covered)
-                    texts.append(text.decode() if waits else None)
-                    runs.append(own_runs if waits else None)
-                    results.append((None,) * len(types) if waits else finish(text, own_runs.reshape(-1, 2).astype(np.int64)))
-                covers = runs
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(covers, pa.list_(pa.int32())), pa.array(k1, pa.list_(pa.int64())), pa.array(k2, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.bool_())), *(pa.array([r[k] for r in results], t) for k, t in enumerate(types))],
-                    ["doc_id", "told", "text", "covered", "k1", "k2", "pos", "ask", *names],
-                )
+                    own.append(np.full(len(at), i))
+                    runs += [(i, a, b) for a, b in _runs(covered).tolist()]
+                own, k1, k2, places, asks = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, k1, k2, places, asks))
+                own, asks = own.astype(np.int64), asks.astype(bool)
+                _, found, _ = _local([k1, k2], null[own], doc[own], told[own], places)
+                runs += [(i, a, a + task.length) for i, a in zip(own[found & asks].tolist(), places[found & asks].tolist(), strict=True)]
+                done = np.array(runs, np.int64).reshape(-1, 3)
+                left = ~found
+                own, n = np.concatenate([own[left], done[:, 0]]), len(done)
+                none = np.zeros(len(own), np.int64)
+                last = np.concatenate([none[n:], done[:, 2]]).astype(np.int32)
+                k1 = np.concatenate([k1[left].view(np.int64), _scramble(doc[done[:, 0]].view(np.uint64) + done[:, 1].view(np.uint64)).view(np.int64)])
+                k2 = np.concatenate([k2[left].view(np.int64), np.ones(n, np.int64)])
+                places = np.concatenate([places[left], done[:, 1]]).astype(np.int32)
+                columns = [k1, k2, doc[own], told[own], places, np.concatenate([asks[left], np.zeros(n, bool)]), none, none, last]
+                for k in range(0, len(own), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[part], mask=null[own[part]]) if i == 2 else pa.array(c[part]) for i, c in enumerate(columns)], _NAMES)
 
     return run
 
 
-def _finisher(task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType]):
+def finisher(finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType]):
+    """Rows (doc_id, text) or (doc_id, text, spans), spans (start, stop) of tokens to remove, to the result."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, covered, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                starts = np.array(covered[::2] + (found or []), np.int64)
-                stops = np.array(covered[1::2] + [p + task.length for p in found or []], np.int64)
-                rows.append(finish((text or "").encode(), np.stack([starts, stops], axis=1)))
+            spans = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            rows = [finish((t or "").encode(), np.array([(x["start"], x["stop"]) for x in s or []], np.int64).reshape(-1, 2)) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *names])
 
     return run
@@ -336,21 +317,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lit(0).cast("long").alias("told") if again.isEmpty() else told().alias("told"), "text")
 
 
+def met(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``texts`` (doc_id, told, text) with the columns of ``lists`` (d, t, ...)."""
+    return texts.join(lists, texts.doc_id.eqNullSafe(lists.d) & (texts.told == lists.t), how).drop("d", "t")
+
+
+def by_text(rows: DataFrame, what: Column, name: str) -> DataFrame:
+    return rows.groupBy(F.col("doc_id").alias("d"), F.col("told").alias("t")).agg(F.collect_list(what).alias(name))
+
+
 def without_repeats(docs: DataFrame, task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
     """One row per row of ``docs``: doc_id and what ``finish`` makes of the text's bytes and the token spans to remove."""
     small_batches(docs.sparkSession, rows=512, size="8m")
     rows = keyed(docs)
-    sampled = rows.mapInArrow(_sampler(task), _ROWS)
-    named = _sorted(sampled).mapInArrow(_names(task, False), _NAMED)
-    lists = named.groupBy("doc_id", "told").agg(F.collect_list(F.struct("pos", "repeat", "lead_doc", "lead_told", "lead_pos")).alias("named"))
-    lists = lists.withColumnsRenamed({"doc_id": "d", "told": "t"})
-    met = rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.told == lists.t), "left").select("doc_id", "told", "text", "named")
-    settled = stored(met.mapInArrow(_settler(task, finish, names, types), f"{_PENDING}, {ddl}"), "settled")
-    zipped = F.explode(F.arrays_zip("k1", "k2", "pos", "ask")).alias("w")
-    merged = _sorted(settled.filter(F.size("pos") > 0).select(zipped, "doc_id", "told").select("w.k1", "w.k2", "doc_id", "told", "w.pos", "w.ask"))
-    repeats = merged.mapInArrow(_names(task, True), _NAMED)
-    lists = repeats.groupBy(F.col("doc_id").alias("d"), F.col("told").alias("t")).agg(F.collect_set("pos").alias("found"))
-    waiting = settled.filter("covered IS NOT NULL").select("doc_id", "told", "text", "covered")
-    waiting = waiting.join(lists, waiting.doc_id.eqNullSafe(lists.d) & (waiting.told == lists.t), "left").select("doc_id", "text", "covered", "found")
-    done = settled.filter("covered IS NULL").select("doc_id", *names)
-    return done.union(waiting.mapInArrow(_finisher(task, finish, names, types), f"doc_id long, {ddl}"))
+    named = _sorted(rows.mapInArrow(_sampler(task), _ROWS)).mapInArrow(_names(False), _NAMED)
+    lists = stored(by_text(named, F.struct("pos", "repeat", "lead_doc", "lead_told", "lead_pos"), "named"), "named-samples")
+    asked, free = marked(rows, lists.select(F.col("d").alias("doc_id"), F.col("t").alias("told")))
+    opened = met(asked, lists, "inner").mapInArrow(_extender(task), _ROWS)
+    found = _sorted(opened).mapInArrow(_names(True), _NAMED)
+    stop = F.when(F.col("repeat"), F.col("pos") + task.length).otherwise(F.col("lead_pos"))
+    spans = by_text(found, F.struct(F.col("pos").alias("start"), stop.alias("stop")), "spans")
+    out = f"doc_id long, {ddl}"
+    done = met(asked, spans, "left").select("doc_id", "text", "spans").mapInArrow(finisher(finish, names, types), out)
+    return free.select("doc_id", "text").mapInArrow(finisher(finish, names, types), out).union(done)

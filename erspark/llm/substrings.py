@@ -54,7 +54,7 @@ def _finish(data: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-TASK = Task(length=WINDOW, period=PERIOD, tokens=word_numbers, across=True)
+TASK = Task(length=WINDOW, period=PERIOD, tokens=word_numbers)
 
 
 def dedup_words(docs: DataFrame) -> DataFrame:

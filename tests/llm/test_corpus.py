@@ -207,3 +207,12 @@ def test_native_operators_run_no_python(spark, sf):
     for name in ("op4_decontamination", "op6_mixing", "op10_sharding"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_marks_lose_no_member(spark):
+    from erspark.llm.common import marked
+
+    rows = spark.range(5000).select(F.when(F.col("id") > 9, F.col("id")).alias("doc_id"), (F.col("id") * 7).alias("told"))
+    asked, free = marked(rows, rows.filter("told % 3 = 0"))
+    asked, free = {r.told for r in asked.collect()}, {r.told for r in free.collect()}
+    assert {7 * k for k in range(5000) if k % 3 == 0} <= asked and not asked & free and len(asked) + len(free) == 5000 and len(free) > 3000

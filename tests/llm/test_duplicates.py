@@ -223,11 +223,50 @@ def test_streamed_names_do_not_depend_on_batches():
 
     draw = random.Random(6)
     rows = sorted((draw.randint(0, 3), 0, draw.randint(0, 2), 0, draw.randint(0, 50), False, 0, 0, 0) for _ in range(60))
-    task = substrings.TASK
 
     def run(size):
         types = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
         batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], t) for k, t in enumerate(types)], cover._NAMES) for i in range(0, len(rows), size)]
-        return Counter(tuple(x.values()) for b in cover._names(task, False)(iter(batches)) for x in b.to_pylist())
+        return Counter(tuple(x.values()) for b in cover._names(False)(iter(batches)) for x in b.to_pylist())
 
     assert run(60) == run(1) == run(7) and sum(run(60).values()) > 40
+
+
+def test_suffix_ranks_are_those_of_sorted_suffixes():
+    draw = random.Random(9)
+    for n in (1, 2, 3, 4, 5, 7, 50, 200, 301):
+        for symbols in (1, 2, 5, 300):
+            text = np.array([draw.randint(1, symbols) for _ in range(n)], np.int64)
+            order = sorted(range(n), key=lambda i: text[i:].tolist())
+            assert np.argsort(suffixes.suffix_ranks(text)).tolist() == order
+
+
+@pytest.mark.parametrize("held", [200, 5000])
+def test_groups_too_large_to_hold_are_dealt_out_again(spark, held):
+    """An anchor whose surroundings differ in every document, so none of its contexts is settled by digest."""
+    line = " ".join(f"line{k}" for k in range(14))
+    rows = passages(6, 12) + [(1000 + k, f"before {k * k} {line} after {k * 7}" + " end" * (k % 9)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffixes.dedup_bytes(df, held=held).select(*COLUMNS).collect())
+    assert got == dedup_bytes(rows) and sum(r[2] > 0 for r in got if r[0] >= 1000) > 40
+
+
+def test_streamed_contexts_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    rows = sorted((draw.randint(0, 3), draw.choice([1, 3, 5]), draw.randint(0, 2), 0, draw.randint(0, 9), 4) for _ in range(60))
+    types = [pa.int64()] * 4 + [pa.int32()] * 2
+
+    def run(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], t) for k, t in enumerate(types)], ["k1", "k2", "doc_id", "told", "start", "n"]) for i in range(0, len(rows), size)]
+        return Counter(tuple(x.values()) for b in suffixes._named(iter(batches)) for x in b.to_pylist())
+
+    distinct = sorted(set(rows))
+    want = Counter()
+    for i, r in enumerate(distinct):
+        if i and distinct[i - 1][:2] == r[:2]:
+            want[(0, *r[2:])] += 1
+        elif len({x[1] for x in distinct if x[0] == r[0]}) > 1:
+            want[(r[0], *r[2:])] += 1
+    assert run(60) == run(1) == run(7) == want
