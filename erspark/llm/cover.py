@@ -222,11 +222,9 @@ def _spans(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def settle(n: int, named: list[dict], task: Task) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a text of n tokens and its named samples: covered tokens, windows to enter in the merge, and which of those ask."""
-    pos = np.array([x["pos"] for x in named], np.int64)
-    repeat = np.array([x["repeat"] for x in named], bool)
-    lead = np.array([(x["lead_doc"], x["lead_told"], x["lead_pos"]) for x in named], np.int64).reshape(-1, 3)
+def settle(n: int, pos: np.ndarray, repeat: np.ndarray, lead: np.ndarray, task: Task) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a text of n tokens and its named samples (positions, whether they repeat, leaders as rows of doc, text and position): covered
+    tokens, windows to enter in the merge, and which of those ask."""
     a, lead = pos[repeat], lead[repeat]
     shift = lead[:, 2] - a
     order = np.lexsort((a, shift, lead[:, 1], lead[:, 0]))
@@ -264,9 +262,11 @@ def _extender(task: Task):
                 null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
                 doc, told = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
                 own, k1, k2, places, asks, runs = [], [], [], [], [], []
-                for i, (text, named) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                    tokens = task.tokens((text or "").encode())
-                    covered, at, ask = settle(len(tokens), named, task)
+                ends, (pos, repeat, *lead) = listed(batch.column(3), ("pos", "repeat", "lead_doc", "lead_told", "lead_pos"))
+                lead = np.stack(lead, axis=1)
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    tokens, mine = task.tokens((text or "").encode()), slice(ends[i], ends[i + 1])
+                    covered, at, ask = settle(len(tokens), pos[mine], repeat[mine], lead[mine], task)
                     k1.append(digests(tokens, task.length, _B1)[at])
                     k2.append(digests(_scramble(tokens), task.length, _B2)[at] | np.uint64(2))
                     places.append(at)
@@ -293,13 +293,24 @@ def _extender(task: Task):
     return run
 
 
+def listed(lists: pa.ListArray, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bounds of each list among all elements, and fields of these (numbers and flags, never null) as arrays. A null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(lists)
+    arrays = [flat.field(name).to_numpy(zero_copy_only=False) for name in fields]
+    return np.concatenate(([0], np.cumsum(lengths))), [a if a.dtype == bool else a.astype(np.int64) for a in arrays]
+
+
 def finisher(finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType]):
     """Rows (doc_id, text) or (doc_id, text, spans), spans (start, stop) of tokens to remove, to the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            rows = [finish((t or "").encode(), np.array([(x["start"], x["stop"]) for x in s or []], np.int64).reshape(-1, 2)) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
+            ends, spans = np.zeros(batch.num_rows + 1, np.int64), np.empty((0, 2), np.int64)
+            if batch.num_columns > 2:
+                ends, own = listed(batch.column(2), ("start", "stop"))
+                spans = np.stack(own, axis=1)
+            rows = [finish((t or "").encode(), spans[ends[i] : ends[i + 1]]) for i, t in enumerate(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", *names])
 
     return run
@@ -328,7 +339,7 @@ def by_text(rows: DataFrame, what: Column, name: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
     """One row per row of ``docs``: doc_id and what ``finish`` makes of the text's bytes and the token spans to remove."""
-    small_batches(docs.sparkSession, rows=512, size="8m")
+    small_batches(docs.sparkSession, rows=1 << 15, size="8m")
     rows = keyed(docs)
     named = _sorted(rows.mapInArrow(_sampler(task), _ROWS)).mapInArrow(_names(False), _NAMED)
     lists = stored(by_text(named, F.struct("pos", "repeat", "lead_doc", "lead_told", "lead_pos"), "named"), "named-samples")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.llm.common import marked
-from erspark.llm.cover import by_text, digests, finisher, keyed, met
+from erspark.llm.cover import by_text, digests, finisher, keyed, listed, met
 from erspark.plans.lineage import small_batches, stored
 
 WINDOW = 100
@@ -200,27 +200,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, told, text, named) to open contexts and, with a null context, joined settled runs."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            key, context, row, starts, counts = [], [], [], [], []
-            for i, (text, named) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = (text or "").encode()
-                done = sorted((x["start"], x["n"]) for x in named if not x["key"])
-                s, n = (np.array(x, np.int64) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64),) * 2
-                for _, a, m in zip(*(x.tolist() for x in _joined(np.zeros(len(s), np.int64), s, n)), strict=True):
-                    key.append((i * 0x9E3779B1 + a * 0x85EBCA6B) & 0x7FFFFFFF)
-                    context.append(None)
-                    row.append(i)
-                    starts.append(a)
-                    counts.append(m)
-                for x in named:
-                    if x["key"]:
-                        key.append(x["key"])
-                        context.append(data[x["start"] : x["start"] + x["n"] + WINDOW - 1])
-                        row.append(i)
-                        starts.append(x["start"])
-                        counts.append(x["n"])
+            ends, (keys, starts, counts) = listed(batch.column(3), ("key", "start", "n"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            opened = keys != 0
+            order = np.lexsort((starts, row))
+            order = order[~opened[order]]
+            runs = _joined(row[order], starts[order], counts[order])
+            row, starts, counts, keys = row[opened], starts[opened], counts[opened], keys[opened]
+            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            context = [texts[i][a:b] for i, a, b in zip(row.tolist(), starts.tolist(), (starts + counts + WINDOW - 1).tolist(), strict=True)]
+            context += [None] * len(runs[0])
+            keys = np.concatenate([keys, _BYTES[runs[0] & 255].view(np.int64) * (2 * runs[1] + 1)])
+            row, starts, counts = (np.concatenate([x, y]) for x, y in zip((row, starts, counts), runs, strict=True))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(context, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())],
+                [pa.array(keys), pa.array(context, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))],
                 ["k1", "context", "doc_id", "told", "start", "n"],
             )
 
@@ -399,7 +393,7 @@ def _finish(data: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
 
 def dedup_bytes(docs: DataFrame, held: int = HELD) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
-    small_batches(docs.sparkSession, rows=4096, size="8m")
+    small_batches(docs.sparkSession, rows=1 << 15, size="8m")
     rows = keyed(docs)
     last = F.col("doc_id").asc_nulls_last()
     sampled = rows.mapInArrow(_sampler, _ROWS).repartition("k1").sortWithinPartitions("k1", "k2", last, "told", "start", "n")

@@ -244,7 +244,7 @@ def test_suffix_ranks_are_those_of_sorted_suffixes():
 @pytest.mark.parametrize("held", [200, 5000])
 def test_groups_too_large_to_hold_are_dealt_out_again(spark, held):
     """An anchor whose surroundings differ in every document, so none of its contexts is settled by digest."""
-    line = " ".join(f"line{k}" for k in range(14))
+    line = " ".join(f"line{k}" for k in range(20))
     rows = passages(6, 12) + [(1000 + k, f"before {k * k} {line} after {k * 7}" + " end" * (k % 9)) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in suffixes.dedup_bytes(df, held=held).select(*COLUMNS).collect())
