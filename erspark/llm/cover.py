@@ -27,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.common import marked
+from erspark.llm.common import by_text, keyed, marked, met
 from erspark.plans.lineage import small_batches, stored
 
 #: Perfect difference sets by period.
@@ -316,27 +316,6 @@ def finisher(finish: Callable[[bytes, np.ndarray], tuple], names: list[str], typ
     return run
 
 
-def told() -> Column:
-    """A hash of the text, which keeps apart rows that share a doc_id."""
-    return F.xxhash64(F.col("text"), F.col("text").isNull())
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, told, text): told is 0 for all if no doc_id is repeated or null, and a hash of the text otherwise."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
-    return rows.select("doc_id", F.lit(0).cast("long").alias("told") if again.isEmpty() else told().alias("told"), "text")
-
-
-def met(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``texts`` (doc_id, told, text) with the columns of ``lists`` (d, t, ...)."""
-    return texts.join(lists, texts.doc_id.eqNullSafe(lists.d) & (texts.told == lists.t), how).drop("d", "t")
-
-
-def by_text(rows: DataFrame, what: Column, name: str) -> DataFrame:
-    return rows.groupBy(F.col("doc_id").alias("d"), F.col("told").alias("t")).agg(F.collect_list(what).alias(name))
-
-
 def without_repeats(docs: DataFrame, task: Task, finish: Callable[[bytes, np.ndarray], tuple], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
     """One row per row of ``docs``: doc_id and what ``finish`` makes of the text's bytes and the token spans to remove."""
     small_batches(docs.sparkSession, rows=1 << 15, size="8m")

@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from erspark.llm.decontam import SLOP
 from erspark.llm.mixing import BLOCK, ROUNDS
 from erspark.llm.quality import DELTA, GRID, MAX_FALSE, METRICS
 
@@ -14,10 +15,17 @@ lens AS (SELECT DISTINCT len(win) AS n FROM iw),
 dw AS (SELECT rid, k, n, words[k:k+n-1] AS win FROM (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, lens)),
 hit AS (SELECT dw.rid, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (win)),
 covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM hit)) GROUP BY rid),
-named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM hit GROUP BY rid)
+named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM hit GROUP BY rid),
+terms AS (SELECT term, count(*) AS n FROM (SELECT unnest(words) AS term FROM d) GROUP BY term),
+tokens AS (SELECT rid, unnest(words) AS term, unnest(range(0, len(words))) AS pos FROM d),
+place AS (SELECT win, off, w.term, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), off) AS rk, count(*) OVER (PARTITION BY win) AS size, min(coalesce(n, 0)) OVER (PARTITION BY win) AS least
+  FROM (SELECT win, unnest(win) AS term, unnest(range(0, len(win))) AS off FROM (SELECT DISTINCT win FROM iw)) w LEFT JOIN terms USING (term)),
+one AS (SELECT rid, win, pos - off AS start FROM place JOIN tokens USING (term) WHERE rk = 1 AND least > 0),
+two AS (SELECT rid, win, pos - off AS start FROM place JOIN tokens USING (term) WHERE rk = least(2, size) AND least > 0),
+near AS (SELECT rid, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT one.rid, one.win FROM one JOIN two ON one.rid = two.rid AND one.win = two.win AND abs(one.start - two.start) <= {SLOP}) JOIN iw USING (win) GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) LEFT JOIN near USING (rid)
 """
 
 SHARDING = r"""

@@ -32,8 +32,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erspark.llm.common import marked
-from erspark.llm.cover import by_text, digests, finisher, keyed, listed, met
+from erspark.llm.common import by_text, keyed, marked, met
+from erspark.llm.cover import digests, finisher, listed
 from erspark.plans.lineage import small_batches, stored
 
 WINDOW = 100

@@ -36,6 +36,24 @@ def contamination(docs, items):
     return out
 
 
+def proximity(docs, items, slop=5):
+    counts = Counter(x for _, t in docs for x in words(t))
+    wins = {(i, tuple(w[k : k + 10])) for i, w in ((i, words(t)) for i, t in items) if w for k in range(max(1, len(w) - 9))}
+    out = Counter()
+    for d, t in docs:
+        at = {}
+        for k, x in enumerate(words(t)):
+            at.setdefault(x, []).append(k)
+        named = set()
+        for i, win in wins:
+            places = sorted((counts[x], k, x) for k, x in enumerate(win))
+            one, two = places[0], places[min(1, len(places) - 1)]
+            if one[0] and any(abs((p - one[1]) - (q - two[1])) <= slop for p in at.get(one[2], []) for q in at.get(two[2], [])):
+                named.add(i)
+        out[d, len(words(t)), len(named - {None})] += 1
+    return out
+
+
 @pytest.fixture(scope="module")
 def items(spark, edges):
     rows = edges.filter("doc_id IN (1, 3, 13)").collect()
@@ -45,10 +63,12 @@ def items(spark, edges):
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
 def test_contamination(edges, items, empty, monkeypatch, limit):
+    """By broadcast and by shuffled joins."""
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr(decontam.phrase_matches, "__defaults__", (limit,))
     got = Counter(tuple(r) for r in decontam.contamination(edges, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     assert got == contamination([(r.doc_id, r.text) for r in edges.collect()], [(r.item_id, r.text) for r in items.collect()])
+    near = Counter((r.doc_id, r.n_words, r.n_near) for r in decontam.contamination(edges, items).collect())
+    assert near == proximity([(r.doc_id, r.text) for r in edges.collect()], [(r.item_id, r.text) for r in items.collect()])
     clean = decontam.keep_clean(edges, items)
     assert clean.columns == edges.columns and clean.count() == sum(n for r, n in got.items() if not r[-1])
     assert decontam.contamination(empty, items).count() == 0
