@@ -4,15 +4,16 @@ The words of each source, its documents in a fixed pseudorandom order, form one
 ``block`` words. Sources share the words of the mix by weight (1, 2, 3, repeating, in code-point order, null last); a
 target stops at ``REPEATS`` times its source, and what it leaves is shared by weight among the others. A source's slots
 take its blocks through a pseudorandom permutation of the block indices, which each pass enters at another place, and
-the last slot takes only the words that the target still lacks. All slots together are dealt to output shards
-of equal length through one more permutation: the source counts of a shard are then a multinomial draw, conditioned on
-the totals that the targets fix. Slots and blocks are joined by index.
+the last slot takes only the words that the target still lacks. Output shards have equal numbers of slots. Each shard draws how many
+of them every source fills (``shard_counts``): a multinomial draw, conditioned on the totals that the targets fix, so that sources meet their
+targets to a word. A source's slots are dealt to the shards by these counts, and slots and blocks are joined by index.
 
 Permutations are swap-or-not networks: each round is an involution on 0..n-1, so any n gives a bijection that needs
 no state and no sort. Native: DataFrame functions only.
 
 Defined cases: null text has no words; documents without words take nothing; a null source is a source; rows with
-null or repeated ids are kept apart; extra columns are ignored; an empty table gives no rows.
+null or repeated ids are kept apart; equal rows are interchangeable; extra columns are ignored by ``mixed_documents`` and kept by
+``mixed_texts`` (those of a map type don't tell rows apart); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ REPEATS = 3
 ROUNDS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 _P = 2147483647
-_CHUNK = 20_000
+_CHUNK = 4_000
 _SPAN = 1 << 14
+N_SHARDS = 64
 
 
 def _mix(x: Column) -> Column:
@@ -64,16 +66,17 @@ def permuted(x: Column, n: Column, rounds: Column) -> Column:
     return F.aggregate(rounds, x.cast("long"), turn)
 
 
-def told() -> Column:
-    """A hash of the text, which keeps apart rows that share a doc_id."""
-    return F.xxhash64(F.col("text"), F.col("text").isNull())
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, which keeps apart rows that differ in any."""
+    names = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names], *[F.col(f"`{n}`").isNull() for n in names])
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and a pseudorandom order key of 60 bits, with a row id (``rid``) of its own for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
-    rows = docs.select("doc_id", "source", told().alias("told"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("order_key"))
+    rows = docs.select("doc_id", "source", row_key(docs).alias("told"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(order, 1, 15), 16, 10).cast("long").alias("order_key"))
     return cut(rows.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -100,11 +103,17 @@ def targets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut(out.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + last))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = 64) -> DataFrame:
-    """(shard, position, source_no, pass, block, take): the mix as a list of slots, ``take`` words of a block each."""
-    spans = sources.filter("n_slots > 0").withColumn("rounds", rounds_of(F.col("n_blocks"), F.col("key"))).withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / _SPAN).cast("int"))))
-    spans = spans.repartition("source_no", "span").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_SPAN - 1))))
-    rows = spans.withColumn("slot", F.col("span").cast("long") * _SPAN + F.col("k")).filter("slot < n_slots")
+def _spread(rows: DataFrame, count: str, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` once for each number (``k``) from 0 to ``count`` - 1, in spans that are dealt out by ``keys``."""
+    spans = rows.filter(F.col(count) > 0).withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / _SPAN).cast("int"))))
+    spans = spans.repartition(*keys, "span").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_SPAN - 1))))
+    return spans.withColumn("k", F.col("span").cast("long") * _SPAN + F.col("k")).filter(F.col("k") < F.col(count)).drop("span")
+
+
+def source_slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(source_no, slot, pass, block, take, whole): the slots that a source fills, in its own order, ``take`` words of a block each."""
+    keyed = sources.withColumn("rounds", rounds_of(F.col("n_blocks"), F.col("key")))
+    rows = _spread(keyed, "n_slots", ("source_no",)).withColumnRenamed("k", "slot")
     rows = rows.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks"))).withColumn("at", F.col("slot") % F.col("n_blocks"))
     rows = rows.withColumn("block", permuted((F.col("at") + F.col("pass") * 104729) % F.col("n_blocks"), F.col("n_blocks"), F.col("rounds")))
     rows = rows.withColumn("length", F.when(F.col("block") == F.col("n_blocks") - 1, F.col("source_size") - F.col("block") * block).otherwise(F.lit(block).cast("long")))
@@ -113,13 +122,33 @@ def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = 64) -> DataFra
     rows = rows.join(short, "source_no", "left")
     begin = F.col("at") * block - F.when(F.col("at") > F.col("short_at"), block - F.col("short_length")).otherwise(0)
     take = F.when(F.col("pass") < F.col("passes"), F.col("length")).otherwise(F.least(F.col("length"), F.col("lack") - begin))
-    rows = rows.withColumn("take", take).filter("take > 0")
-    counted = rows.groupBy("source_no").agg(F.count("*").alias("n"))
-    offsets = counted.select("source_no", F.coalesce(F.sum("n").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    offsets = offsets.withColumn("deal", rounds_of(F.col("total"), F.lit(15485863).cast("long")))
-    rows = rows.join(offsets, "source_no").withColumn("place", permuted(F.col("offset") + F.col("slot"), F.col("total"), F.col("deal")))
+    return rows.withColumn("take", take).filter("take > 0").select("source_no", "slot", "pass", "block", "take", (F.col("take") == F.col("length")).alias("whole"))
+
+
+def shard_counts(own: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """(shard, source_no, n, length): how many of its ``length`` slots each output shard draws from each source. Of all shards' slots, as many
+    fall to a source as ``own`` has of it: one ticket per slot of a source, drawn by a keyed permutation of the places in the shards."""
+    counted = own.groupBy("source_no").agg(F.count("*").alias("tickets"))
+    before = F.coalesce(F.sum("tickets").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tickets = counted.select("source_no", "tickets", before.alias("offset"), F.sum("tickets").over(Window.partitionBy()).alias("total"))
+    tickets = cut(tickets.withColumn("deal", rounds_of(F.col("total"), F.lit(15485863).cast("long"))))
+    drawn = _spread(tickets, "tickets", ("source_no",)).withColumn("place", permuted(F.col("offset") + F.col("k"), F.col("total"), F.col("deal")))
     length = F.ceil(F.col("total") / n_shards)
-    return rows.select(F.floor(F.col("place") / length).cast("int").alias("shard"), (F.col("place") % length).alias("position"), "source_no", "pass", "block", "take")
+    drawn = drawn.select("source_no", F.floor(F.col("place") / length).cast("int").alias("shard")).groupBy("shard", "source_no").agg(F.count("*").alias("n"))
+    return cut(drawn.withColumn("length", F.sum("n").over(Window.partitionBy("shard"))))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS) -> DataFrame:
+    """(shard, position, source_no, pass, block, take, whole): the mix as a list of slots. The counts that a shard has drawn say how many
+    slots of each source it takes; they stand in the shard in a pseudorandom order."""
+    own = cut(source_slots(sources, block))
+    counts = shard_counts(own, n_shards)
+    past = lambda group, order: F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.withColumn("slots_before", past("source_no", "shard")).withColumn("places_before", past("shard", "source_no"))
+    ranges = ranges.withColumn("order", rounds_of(F.col("length"), F.col("shard").cast("long") + 32452843))
+    dealt = _spread(ranges, "n", ("source_no", "shard")).withColumn("position", permuted(F.col("places_before") + F.col("k"), F.col("length"), F.col("order")))
+    dealt = dealt.select("shard", "position", "source_no", (F.col("slots_before") + F.col("k")).alias("slot"))
+    return dealt.join(own, ["source_no", "slot"]).select("shard", "position", "source_no", "pass", "block", "take", "whole")
 
 
 def pieces(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -141,47 +170,52 @@ def pieces(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame
     return out.select("rid", "doc_id", "told", "size", "source_no", "source_size", "target", "start", "block", low.alias("low"), high.alias("high"))
 
 
+def block_uses(dealt: DataFrame) -> DataFrame:
+    """(source_no, block, whole, shards, short, short_shard): how often slots take all words of a block and in which shards (REPEATS + 1 at most), and
+    how many words the one slot takes that stops within it (0 if none does)."""
+    stops = F.when(~F.col("whole"), F.col("take"))
+    return dealt.groupBy("source_no", "block").agg(
+        F.count_if("whole").alias("whole"), F.collect_set(F.when(F.col("whole"), F.col("shard"))).alias("shards"), F.coalesce(F.max(stops), F.lit(0)).alias("short"),
+        F.max(F.when(~F.col("whole"), F.col("shard"))).alias("short_shard"),
+    )
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes, repeats counted."""
+    """Per row of ``docs``: doc_id, size, source_size, target, taken (the words that the mix takes, repeats counted) and n_shards (the
+    output shards that hold any of them)."""
     rows = sized(docs)
     sources = targets(rows, block)
-    parts = pieces(rows, sources, block)
-    joined = parts.join(block_uses(slots(sources, block), block), ["source_no", "block"], "left")
+    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)), ["source_no", "block"], "left")
     part = F.greatest(F.least(F.col("high"), F.col("short")) - F.col("low"), F.lit(0))
     taken = F.coalesce(F.col("whole") * (F.col("high") - F.col("low")) + part, F.lit(0))
-    return joined.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken")).drop("rid")
+    used = F.coalesce(F.when(part > 0, F.array_append("shards", F.col("short_shard"))).otherwise(F.col("shards")), F.array().cast("array<int>"))
+    every = F.size(F.array_distinct(F.flatten(F.collect_list(used)))).cast("long")
+    return joined.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken"), every.alias("n_shards")).drop("rid")
 
 
 def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents, all columns of ``docs``: one row per document and copy, with the words that this copy takes.
+    """The mix as documents, all columns of ``docs``: one row per row and copy, with the words that this copy takes.
     A copy that takes all words keeps its text as it is; otherwise the words taken are joined by single spaces (and
-    n_chars, where there is such a column, follows). Documents of which nothing is taken are absent."""
+    n_chars, where there is such a column, follows). Rows of which nothing is taken are absent."""
     rows = sized(docs)
     sources = targets(rows, block)
-    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block), block), ["source_no", "block"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("whole") + 1))
+    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)), ["source_no", "block"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))
     joined = joined.withColumn("copy", copies).withColumn("high", F.when(F.col("copy") <= F.col("whole"), F.col("high")).otherwise(F.least("high", "short")))
     joined = joined.filter(F.col("high") > F.col("low")).withColumn("from", F.col("block") * block - F.col("start"))
     span = F.struct((F.col("from") + F.col("low")).alias("first"), (F.col("high") - F.col("low")).alias("n"))
     takes = joined.withColumn("span", span).groupBy("rid", "doc_id", "told", "size", "copy").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("n"))
-    takes = cut(takes.select(F.col("doc_id").alias("take_id"), F.col("told").alias("take_told"), F.col("copy").alias("take_copy"), "spans", (F.col("n") == F.col("size")).alias("all_words")))
-    again = cut(rows.groupBy("doc_id", "told").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("told").alias("again_told")))
+    takes = cut(takes.select("doc_id", "told", "spans", (F.col("n") == F.col("size")).alias("all_words")))
+    again = cut(rows.groupBy("doc_id", "told").count().filter("count > 1").select("doc_id", "told"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), row_key(docs).alias("own_told"))
+    same = lambda other: F.col("own_id").eqNullSafe(other.doc_id) & (F.col("own_told") == other.told)
     if not again.isEmpty():
-        same = docs.doc_id.eqNullSafe(again.again_id) & (told() == again.again_told)
-        docs = docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+        # of equal rows one is enough to write the takes of all
+        packed = packed.join(again, same(again), "left_anti").union(packed.join(again, same(again), "left_semi").dropDuplicates(["own_id", "own_told"]))
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
     some = F.concat_ws(" ", F.flatten(F.transform("spans", lambda s: F.slice(words, s["first"].cast("int") + 1, s["n"].cast("int")))))
-    out = docs.join(takes, docs.doc_id.eqNullSafe(takes.take_id) & (told() == takes.take_told))
-    out = out.withColumn("text", F.when(F.col("all_words"), F.col("text")).otherwise(some))
+    out = packed.join(takes, same(takes)).withColumn("taken_text", F.when(F.col("all_words"), F.col("doc.text")).otherwise(some))
+    made = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("all_words"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
-
-
-def block_uses(dealt: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source_no, block, whole, short): how often the slots take all words of a block, and how many words the one slot takes
-    that stops within it (0 if none does)."""
-    most = F.max("take")
-    return dealt.groupBy("source_no", "block").agg(F.sum("take").alias("words"), F.count("*").alias("n"), most.alias("most"), F.min("take").alias("least")).select(
-        "source_no", "block", F.when(F.col("least") < F.col("most"), F.col("n") - 1).otherwise(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("whole"), F.when((F.col("least") < F.col("most")) | (F.col("n") == 1), F.col("least")).otherwise(0).alias("short")
-    )
+        made["n_chars"] = F.when(F.col("all_words"), F.col("doc.n_chars")).otherwise(F.length("taken_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[made.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 from erspark.llm.decontam import SLOP
-from erspark.llm.mixing import BLOCK, ROUNDS
+from erspark.llm.mixing import BLOCK, N_SHARDS, ROUNDS
 from erspark.llm.quality import DELTA, GRID, MAX_FALSE, METRICS
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
@@ -80,12 +80,15 @@ s0 AS (SELECT source_no, source_size, passes, lack, n_blocks AS n, slot // n_blo
 s1 AS (SELECT *, pt AS block, CASE WHEN pt = n - 1 THEN source_size - pt * {BLOCK} ELSE {BLOCK} END AS length FROM {_rounds('s0')}),
 s2 AS (SELECT *, max(CASE WHEN pass = passes AND length < {BLOCK} THEN place END) OVER p AS short_at, max(CASE WHEN pass = passes AND length < {BLOCK} THEN length END) OVER p AS short_length
   FROM s1 WINDOW p AS (PARTITION BY source_no)),
-s3 AS (SELECT source_no, block, CASE WHEN pass < passes THEN length ELSE least(length, lack - (place * {BLOCK} - CASE WHEN place > short_at THEN {BLOCK} - short_length ELSE 0 END)) END AS take FROM s2),
+s3 AS (SELECT source_no, block, length, pass * n + place AS slot, CASE WHEN pass < passes THEN length ELSE least(length, lack - (place * {BLOCK} - CASE WHEN place > short_at THEN {BLOCK} - short_length ELSE 0 END)) END AS take FROM s2),
 o AS (SELECT d.*, row_number() OVER () AS rid, v.source_no, v.source_size, v.target,
   sum(size) OVER (PARTITION BY v.source_no ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
 p AS (SELECT rid, source_no, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, unnest(range(CAST(stop - size AS BIGINT) // {BLOCK}, (CAST(stop AS BIGINT) - 1) // {BLOCK} + 1)) AS block FROM o WHERE size > 0),
-q AS (SELECT rid, sum(greatest(least(stop - block * {BLOCK}, take) - greatest(start - block * {BLOCK}, 0), 0)) AS taken FROM p JOIN s3 USING (source_no, block) WHERE take > 0 GROUP BY rid)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN q USING (rid)
+k0 AS (SELECT *, row_number() OVER (ORDER BY source_no, slot) - 1 AS pt, count(*) OVER () AS n, 15485863::BIGINT AS key FROM s3 WHERE take > 0),
+k1 AS (SELECT source_no, row_number() OVER (PARTITION BY source_no ORDER BY pt // ((n + {N_SHARDS - 1}) // {N_SHARDS})) - 1 AS nth, pt // ((n + {N_SHARDS - 1}) // {N_SHARDS}) AS shard FROM {_rounds('k0')}),
+q AS (SELECT rid, sum(words) AS taken, count(DISTINCT shard) FILTER (WHERE words > 0) AS n_shards FROM (SELECT rid, shard, greatest(least(stop - block * {BLOCK}, take) - greatest(start - block * {BLOCK}, 0), 0) AS words
+  FROM p JOIN s3 USING (source_no, block) JOIN k1 ON k1.source_no = s3.source_no AND k1.nth = s3.slot WHERE take > 0) GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_shards, 0) AS BIGINT) AS n_shards FROM o LEFT JOIN q USING (rid)
 """
 
 SUBSTRINGS = r"""

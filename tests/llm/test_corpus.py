@@ -132,12 +132,49 @@ def test_permutations(spark, n):
     assert n < 100 or got != sorted(got)
 
 
-def test_shards_of_slots_are_even(spark, edges):
-    sources = mixing.targets(mixing.sized(edges), 16)
-    per = Counter(r.shard for r in mixing.slots(sources, 16, n_shards=8).collect())
-    assert max(per.values()) - min(per.values()) <= max(per.values())
-    places = Counter((r.shard, r.position) for r in mixing.slots(sources, 16, n_shards=8).collect())
-    assert set(places.values()) == {1}
+def test_shards_draw_their_source_counts(spark):
+    """The draw: shards are even, all slots of a source are dealt once, and counts spread as those of draws without replacement do."""
+    sources = spark.createDataFrame([(k, size) for k, size in enumerate((4000, 12000, 24000, 40000), 1)], "source_no long, source_size long")
+    docs = sources.select(F.col("source_no").alias("doc_id"), F.concat(F.lit("s"), "source_no").alias("source"), F.array_join(F.array_repeat(F.lit("w"), F.col("source_size").cast("int")), " ").alias("text"))
+    made = mixing.targets(mixing.sized(docs), 16)
+    own = mixing.source_slots(made, 16)
+    counts = mixing.shard_counts(own, 50).collect()
+    per = Counter()
+    for r in counts:
+        per[r.shard] += r.n
+    total = sum(per.values())
+    assert set(per.values()) <= {-(-total // 50), total - 49 * -(-total // 50)} and all(r.length == per[r.shard] for r in counts)
+    pool = Counter(r.source_no for r in own.collect())
+    by_source = {k: [r.n for r in counts if r.source_no == k] for k in pool}
+    assert {k: sum(v) for k, v in by_source.items()} == dict(pool)
+    for k, v in by_source.items():
+        share, draws = pool[k] / total, total / 50
+        spread = sum((n - draws * share) ** 2 for n in v) / 50
+        assert 0.5 < spread / (draws * share * (1 - share)) < 1.7, (k, spread)
+    dealt = mixing.slots(made, 16, 50).collect()
+    assert Counter((r.shard, r.source_no) for r in dealt) == Counter({(r.shard, r.source_no): r.n for r in counts})
+    assert len({(r.shard, r.position) for r in dealt}) == total and {r.position for r in dealt if r.shard == 3} == set(range(per[3]))
+    assert Counter((r.source_no, r.block, r["pass"]) for r in dealt) == Counter((r.source_no, r.block, r["pass"]) for r in own.collect())
+
+
+def test_mixed_texts_of_one_document_in_two_sources(spark):
+    """Rows that share doc_id and text differ in source and in columns that clash with names of the plan."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "x", 1, "a"), (1, text, "y", 2, "b"), (1, text, "y", 2, "b"), (2, text + " end", "x", 3, "c"), (3, None, "x", 4, "d"), (None, text, None, 5, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int, all_words string")
+    for name in ("take_id", "take_copy", "doc", "own_id", "own_told", "taken_text", "copy", "told"):
+        docs = docs.withColumn(name, F.col("spans"))
+    taken = Counter()
+    for r in mixing.mixed_documents(docs, block=16).collect():
+        taken[r.target] += r.taken
+    texts = mixing.mixed_texts(docs, block=16)
+    assert texts.columns == docs.columns
+    got, tags = Counter(), set()
+    for r in texts.collect():
+        got[r.source] += len(r.text.split())
+        tags.add((r.source, r.spans, r.all_words, r.doc))
+    assert sorted(got.values()) == sorted(v for v in taken.values() if v) and len(taken) == 3
+    assert tags <= {(r[2], r[3], r[4], r[3]) for r in rows}
 
 
 def test_sharding_laws(spark, edges, empty):
