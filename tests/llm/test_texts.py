@@ -98,6 +98,50 @@ def test_weak_parts_need_complements():
     assert scan(f"AKIA{'B' * 16}\n\n{token}") == ["access"]
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    n = 1 << 20
+    for run in ("a1" * (n // 2), "a1." * (n // 3), "0123456789abcdef" * (n // 16), "Zm9vYmFy+/=_" * (n // 12), "user=" * (n // 5), "a" * n + ":", "secret " * (n // 7), "1.2.3." * (n // 6), "ab://" * (n // 5), "\n " * (n // 2), "-." * (n // 2)):
+        began = time.perf_counter()
+        secrets.scan(run + "1")
+        assert time.perf_counter() - began < 6, run[:8]
+
+
+def test_links_match_brute_force():
+    """A weak part is reported if a base part of another role, or parts of both others, lie within reach in its scope."""
+    import random
+
+    def by_definition(text, base, weak):
+        cuts = [m.start() for m in re.finditer(r"\n[^\S\n]*\n", text)]
+        scope = lambda a: sum(c < a for c in cuts)
+        near = lambda x, y: scope(x[0]) == scope(y[0]) and y[0] - x[1] <= secrets.REACH and x[0] - y[1] <= secrets.REACH
+        out = []
+        for x in weak:
+            roles = {secrets.ROLE[y[2]] for y in [*base, *weak] if near(x, y)} - {secrets.ROLE[x[2]]}
+            strong = {secrets.ROLE[y[2]] for y in base if near(x, y)} - {secrets.ROLE[x[2]]}
+            if strong or len(roles) == 2:
+                out.append(x)
+        return out
+
+    draw = random.Random(11)
+    found = 0
+    for _ in range(150):
+        parts = [draw.choice(["Zx81kQp0Lm72vB3n", "user=bob99", "https://db.example.com/x", "10.0.0.7:5432", "db.example.com:5432", "AKIA" + "B" * 16, "secret=abcdef12", "\n\n", "word " * draw.randint(1, 90)]) for _ in range(draw.randint(2, 14))]
+        text = " ".join(parts)
+        base = secrets.base_spans(text)
+        weak = secrets.weak_parts(text, base)
+        got = secrets.linked(text, base, weak)
+        assert sorted(got) == sorted(by_definition(text, base, weak)), text
+        found += len(got)
+    assert found > 100
+
+
+def test_hosts_begin_where_their_characters_do():
+    ends = lambda t: [m[0] for m in secrets._ENDPOINT.finditer(t)]
+    assert ends("see db.example.com:5432, .host.tld:80 and x.y:7") == ["db.example.com:5432", "host.tld:80"]
+
+
 def test_secrets_of_empty_tables(empty):
     assert secrets.scan_secrets(empty).count() == 0
 
