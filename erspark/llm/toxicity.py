@@ -1,9 +1,10 @@
 """Toxicity by classifier chains.
 
 Categories are predicted in a fixed order by linear models; each model sees the words of a text and the probabilities of the
-categories before it. In training those probabilities are out-of-fold: a document's earlier probabilities come from models that
-never saw it, so later models meet them as they will be in use. The last link of the chain is the labelled verdict ``toxic``. The
-labels have no finer categories, so earlier links learn weak labels: toxic documents that hold one of a category's seed words.
+categories before it. In training those probabilities are out-of-fold: a document's earlier probabilities come from models, and from a
+choice of features, that never saw it, so later models meet them as they will be in use. Texts with equal words are in one fold.
+The last link of the chain is the labelled verdict ``toxic``. The labels have no finer categories, so the earlier links learn those that the
+labelled toxic documents form: ``N_CATEGORIES`` clusters of their telling features, whatever the language, the largest first.
 
 Features are the presence of words and of word beginnings (4 and 5 letters, for languages that compound). Only features whose
 share among positives clearly exceeds that among negatives are kept (at most ``MAX_FEATURES``). Training takes at most
@@ -11,7 +12,8 @@ share among positives clearly exceeds that among negatives are kept (at most ``M
 corpus. The threshold maximises F1 on out-of-fold probabilities.
 
 Defined cases: null and empty texts have probability 0 and aren't toxic; without labels of both values nothing is toxic; null labels
-and null ids are ignored; a document labelled both ways counts as toxic; repeated rows give repeated rows; extra columns are ignored.
+and null ids are ignored; a document labelled both ways counts as toxic; of rows with an equal doc_id the least text is learned; repeated
+rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +33,9 @@ from erspark.llm.langid import held_out
 from erspark.llm.linear import logistic, sigmoid
 from erspark.plans.lineage import cut, small_batches
 
-#: Seed words of the weakly labelled categories, in chain order.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("pathetic", "worthless", "disgusting"),
-    "dehumanising": ("scum", "trash", "vermin"),
-}
-CHAIN = (*SEEDS, "toxic")
+#: Categories that the labelled toxic documents are parted into.
+N_CATEGORIES = 3
+CHAIN = (*(f"category_{k + 1}" for k in range(N_CATEGORIES)), "toxic")
 TRAIN_TOXIC = 2000
 TRAIN_CLEAN = 4000
 MAX_FEATURES = 1024
@@ -62,33 +60,66 @@ def marks(text: str) -> np.ndarray:
 
 def _rows(batches):
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        seeds = [sum(1 << k for k, own in enumerate(SEEDS.values()) if any(s in t.lower() for s in own)) for t in texts]
-        x = pa.array([marks(t).tobytes() for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seeds, pa.int64()), x], ["toxic", "seeds", "x"])
+        x = pa.array([marks(t or "").tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), x], ["toxic", "x"])
+
+
+def matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Presence of the ``chosen`` features (sorted hashes), a row per text."""
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    if len(chosen):
+        flat = np.concatenate(rows)
+        at = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
+        hit = chosen[at] == flat
+        x[np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit], at[hit]] = 1
+    return x
+
+
+def categories(x: np.ndarray, count: int = N_CATEGORIES, rounds: int = 15, tries: int = 8) -> np.ndarray:
+    """A category of each row: spherical k-means, the best of several fixed starts, the largest cluster first."""
+    x = x * np.log((len(x) + 1) / (x.sum(axis=0) + 1))
+    x = x / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    best, most = np.zeros(len(x), np.int64), -1.0
+    for seed in range(tries):
+        centres = x[np.random.default_rng(seed).choice(len(x), min(count, len(x)), replace=False)]
+        for _ in range(rounds):
+            own = (x @ centres.T).argmax(axis=1)
+            sums = np.stack([x[own == k].sum(axis=0) for k in range(len(centres))])
+            centres = sums / np.maximum(1e-9, np.sqrt((sums * sums).sum(axis=1, keepdims=True)))
+        near = x @ centres.T
+        if near.max(axis=1).sum() > most + 1e-6:
+            best, most = near.argmax(axis=1), float(near.max(axis=1).sum())
+    order = np.argsort(-np.bincount(best, minlength=count), kind="stable")
+    return np.argsort(order, kind="stable")[best]
 
 
 class Chain:
     """Feature hashes, the weights of each link, and the verdict's threshold."""
 
-    def __init__(self, rows: list[np.ndarray], toxic: np.ndarray, seeds: np.ndarray):
-        self.index = {int(h): k for k, h in enumerate(self._select(rows, toxic))}
-        x = np.stack([self.vector(r) for r in rows])
-        fold = np.arange(len(rows)) % FOLDS
+    def __init__(self, rows: list[np.ndarray], toxic: np.ndarray):
+        chosen = self._select(rows, toxic)
+        self.index = {int(h): k for k, h in enumerate(chosen)}
+        x = matrix(rows, chosen)
+        own = np.full(len(rows), -1)
+        own[toxic > 0] = categories(x[toxic > 0]) if len(chosen) else 0
+        fold = np.array([zlib.crc32(r.tobytes()) % FOLDS for r in rows])
+        folds = [(fold == f, matrix(rows, self._select([r for r, out in zip(rows, fold == f, strict=True) if not out], toxic[fold != f]))) for f in range(FOLDS) if (fold == f).any() and (fold != f).any()]
+        earlier = np.empty((len(rows), 0), np.float32)
         self.weights: list[np.ndarray] = []
         for k, name in enumerate(CHAIN):
-            y = toxic if name == "toxic" else toxic * (seeds >> k & 1)
-            self.weights.append(logistic(x, y))
+            y = toxic if name == "toxic" else (own == k).astype(np.float64)
+            self.weights.append(logistic(np.hstack([x, earlier]), y))
             outside = np.zeros(len(rows))
-            for f in range(FOLDS):
-                own = fold == f
-                if own.any() and (~own).any():
-                    outside[own] = sigmoid(self._margin(x[own], logistic(x[~own], y[~own])))
-            x = np.hstack([x, outside[:, None].astype(np.float32)])
-        self.threshold = self._threshold(x[:, -1], toxic)
+            for held, part in folds:
+                seen = np.hstack([part, earlier])
+                outside[held] = sigmoid(self._margin(seen[held], logistic(seen[~held], y[~held])))
+            earlier = np.hstack([earlier, outside[:, None].astype(np.float32)])
+        self.threshold = self._threshold(earlier[:, -1], toxic)
 
     @staticmethod
     def _select(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+        if not (toxic > 0).any():
+            return np.empty(0, np.uint32)
         flat = np.concatenate(rows)
         positive = np.repeat(toxic > 0, [len(r) for r in rows])
         known, where = np.unique(flat, return_inverse=True)
@@ -100,13 +131,6 @@ class Chain:
         good = np.flatnonzero((p >= 3) & (z > 2.5) & (odds > 1.5))
         return np.sort(known[good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]]])
 
-    def vector(self, hashes: np.ndarray) -> np.ndarray:
-        x = np.zeros(len(self.index), np.float32)
-        for h in hashes.tolist():
-            if (k := self.index.get(h)) is not None:
-                x[k] = 1
-        return x
-
     @staticmethod
     def _margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x @ w[:-1] + w[-1]
@@ -132,13 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain | None:
     sizes = {r.toxic: r["count"] for r in told.groupBy("toxic").count().collect()}
     chosen = drawn_by_hash(told, "toxic", sizes, {0: TRAIN_CLEAN, 1: TRAIN_TOXIC})
     chosen = cut(chosen.select(F.col("doc_id").alias("chosen_id"), "toxic"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select(F.col("toxic").cast("long").alias("toxic"), "text")
-    rows = sample.mapInArrow(_rows, "toxic long, seeds long, x binary").limit(TRAIN_TOXIC + TRAIN_CLEAN).toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: zlib.crc32(rows.x[i]))]
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    sample = sample.groupBy("chosen_id").agg(F.max("toxic").cast("long").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+    rows = sample.mapInArrow(_rows, "toxic long, x binary").toPandas().sort_values(["toxic", "x"])
     toxic = rows.toxic.to_numpy(np.float64)
     if not (toxic > 0).any() or not (toxic <= 0).any():
         return None
-    return Chain([np.frombuffer(b, np.uint32) for b in rows.x], toxic, rows.seeds.to_numpy(np.int64))
+    return Chain([np.frombuffer(b, np.uint32) for b in rows.x], toxic)
 
 
 _SCORES = StructType([*(StructField(f"p_{c}", DoubleType()) for c in CHAIN), StructField("toxic", BooleanType())])

@@ -174,6 +174,46 @@ def test_toxicity_by_held_out_accuracy(spark):
     assert hit / real > 0.85 and hit / said > 0.85
 
 
+def test_toxicity_recall_by_language(spark):
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_scores(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels.filter("toxic = 1").select("doc_id"), "doc_id").collect()
+    for held in (False, True):
+        real, hit = (Counter(r.lang for r in rows if r.held_out == held and r.toxic >= t) for t in (False, True))
+        assert len(real) == 4 and all(hit[k] >= 0.8 * n for k, n in real.items()), (held, real, hit)
+
+
+def test_categories_tell_clusters_apart():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    kind = draw.integers(0, 3, 300)
+    x = np.zeros((300, 30), np.float32)
+    for i, k in enumerate(kind):
+        x[i, 10 * k + draw.integers(0, 10, 4)] = 1
+    got = toxicity.categories(x)
+    assert len({(a, b) for a, b in zip(kind.tolist(), got.tolist(), strict=True)}) == 3
+    sizes = np.bincount(got)
+    assert sizes.tolist() == sorted(sizes.tolist(), reverse=True)
+
+
+def test_out_of_fold_rows_were_never_seen():
+    """Copies share a fold, and a feature that only one fold's toxic rows have isn't chosen for that fold's models."""
+    import zlib
+
+    import numpy as np
+
+    rows = [np.array([1, 2, 3 + k % 7], np.uint32) for k in range(60)] + [np.array([50 + k % 9, 90], np.uint32) for k in range(60)]
+    toxic = np.array([1.0] * 60 + [0.0] * 60)
+    folds = {}
+    for r in rows:
+        folds.setdefault(r.tobytes(), set()).add(zlib.crc32(r.tobytes()) % toxicity.FOLDS)
+    assert all(len(f) == 1 for f in folds.values())
+    chain = toxicity.Chain(rows, toxic)
+    p = chain.predict(toxicity.matrix(rows, np.array(sorted(chain.index), np.uint32)))
+    assert (p[:60, -1] > chain.threshold).all() and not (p[60:, -1] > chain.threshold).any()
+
+
 def test_toxicity_of_edge_cases(spark, edges, empty):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (1, 1, 0), (None, 0, 1), (3, 1, None), (7, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(edges, labels).collect()
