@@ -125,14 +125,15 @@ win AS (SELECT rid, k, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT rid, w,
 again AS (SELECT rid, s FROM win GROUP BY rid, s HAVING count(*) > 1),
 hit AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(k, k + 5)) AS p FROM win JOIN again USING (rid, s)) GROUP BY rid),
 li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
-c AS (SELECT d.doc_id, stratum, d.rid, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+c AS (SELECT d.doc_id, stratum, d.rid, text AS copy, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
   len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS n_caps, len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) AS n_stutters, len(regexp_extract_all(text, '[!?]')) AS n_bangs FROM d LEFT JOIN hit USING (rid) LEFT JOIN li USING (rid)),
-m AS (SELECT doc_id, rid, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share,
+m AS (SELECT doc_id, rid, stratum, copy, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share,
   CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN least(1, n_symbols::DOUBLE / n_words) ELSE 0 END AS symbol_share, CASE WHEN n_words > 0 THEN least(1, n_caps::DOUBLE / n_words) ELSE 0 END AS caps_share,
   CASE WHEN n_words > 0 THEN n_stutters::DOUBLE / n_words ELSE 0 END AS stutter_share, CASE WHEN n_words > 0 THEN least(1, n_bangs::DOUBLE / n_words) ELSE 0 END AS bang_share, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 lab AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
-x AS (SELECT stratum, quality, unnest([{", ".join(repr(name) for name in METRICS)}]) AS metric, CAST(ceil(unnest([{", ".join(METRICS)}]) * {GRID}) AS INTEGER) - 1 AS step FROM m JOIN lab USING (doc_id) WHERE NOT base_failed),
+x AS (SELECT stratum, quality, unnest([{", ".join(repr(name) for name in METRICS)}]) AS metric, CAST(ceil(unnest([{", ".join(METRICS)}]) * {GRID}) AS INTEGER) - 1 AS step
+  FROM (SELECT stratum, max(quality) AS quality, {", ".join(f"any_value({name}) AS {name}" for name in METRICS)} FROM m JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY stratum, copy)),
 size AS (SELECT stratum, count(*) / {len(METRICS)} AS n, CAST({MAX_FALSE} AS DOUBLE) / {len(METRICS)} AS share FROM x WHERE quality = 1 GROUP BY stratum),
 g AS (SELECT stratum, metric, s, n, share, (SELECT count(*) FROM x WHERE x.stratum = size.stratum AND x.metric = q.metric AND x.step >= s AND x.step < {GRID} AND quality = 1) AS rejected,
   (SELECT count(*) FROM x WHERE x.stratum = size.stratum AND x.metric = q.metric AND x.step >= s AND x.step < {GRID} AND quality = 0) AS caught FROM size, (SELECT DISTINCT metric FROM x) q, range(1, {GRID}) r(s)),

@@ -5,15 +5,17 @@ stratum (language) and ratio the cutoffs of a fixed grid are tested from lax to
 exact binomial (Clopper-Pearson) upper bound of the share of good documents that it rejects stays within the ratio's
 part of ``MAX_FALSE``. The tests of one ratio run in a fixed order and stop at the first failure, so they need no
 correction among themselves; of the certified cutoffs the laxest is taken that rejects as many labelled bad documents as the strictest
-(a rule that catches none isn't armed). ``DELTA`` is divided by the number of strata times ratios (Bonferroni). Hence with
-probability 1 - ``DELTA``, in all strata at once, the rules reject at most ``MAX_FALSE`` of the good documents. A stratum
-with too few labels arms no rule.
+(a rule that catches none isn't armed). ``DELTA`` is divided by the number of strata times ratios (Bonferroni).
+
+What is guaranteed: with probability 1 - ``DELTA``, in all strata at once, the armed rules reject at most ``MAX_FALSE`` of the distinct
+good texts that pass the base rules, if labelled texts are drawn like the others. Copies of a text in a stratum count once, as they are no
+independent trials. The base rules are no part of it: what they reject is fixed, whatever the labels say. A stratum with too few labels arms
+no rule. Every stratum has thresholds of its own, however many there are; they are a table that rows meet by a join.
 
 Base rules need no labels: fewer than ``MIN_WORDS`` words, or over ``MAX_REPEAT`` % of words in repeated windows.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null stratum value is a stratum of its
-own; at most ``MAX_STRATA`` strata (those with most good labels) have thresholds of their own, all others share the
-pooled stratum; labels that are null are ignored and a document with labels 0 and 1 counts as good; repeated rows
+own; labels that are null are ignored and a document with labels 0 and 1 counts as good, as does a text whose copies have both; repeated rows
 give repeated rows; extra columns are ignored by ``quality_report`` and kept by ``keep_good``; empty tables give empty results.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from erspark.llm.common import marked
 from erspark.plans.lineage import cut, small_batches
 
 MIN_WORDS = 10
@@ -36,7 +39,8 @@ MAX_REPEAT = 20
 WINDOW = 5
 MAX_FALSE = 0.03
 DELTA = 0.05
-MAX_STRATA = 256
+#: Tables of thresholds up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 METRICS = ("repeat_share", "dup_line_share", "symbol_share", "caps_share", "stutter_share", "bang_share")
 #: Steps from 1 (strictest) to GRID (laxest); step k stands for the cutoff k / GRID.
 GRID = 50
@@ -126,12 +130,13 @@ def upper_bound_holds(k: int, n: int, share: float, delta: float) -> bool:
     return n > 0 and binomial_cdf(k, n, share) <= delta
 
 
-def choose_steps(good: dict[tuple, dict[int, int]], bad: dict[tuple, dict[int, int]], totals: dict, max_false: float, delta: float) -> dict[tuple, int]:
+def choose_steps(good: dict[tuple, dict[int, int]], bad: dict[tuple, dict[int, int]], totals: dict, max_false: float, delta: float, strata: int | None = None) -> dict[tuple, int]:
     """A certified step by (stratum, metric): the laxest that rejects as many labelled bad documents as the strictest certified one.
     All certified steps hold at once, so the choice among them may look at the labels. ``good`` and ``bad``: documents by step of
-    their ratio, step k being the laxest cutoff k / GRID that they exceed; ``totals``: good documents by stratum."""
+    their ratio, step k being the laxest cutoff k / GRID that they exceed; ``totals``: good documents by stratum, of ``strata`` in all
+    (None: these)."""
     chosen = {}
-    each, level = max_false / len(METRICS), delta / max(1, len(totals) * len(METRICS))
+    each, level = max_false / len(METRICS), delta / max(1, (strata or len(totals)) * len(METRICS))
     for stratum, n in totals.items():
         for metric in METRICS:
             rejected, caught, most, best = 0, 0, 0, None
@@ -152,58 +157,61 @@ def _step(metric: str) -> Column:
     return (F.ceil(F.col(f"m.{metric}") * GRID) - 1).cast("int")
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, delta: float = DELTA) -> tuple[dict, set]:
-    """Certified steps by (stratum key, metric), and the stratum keys. ``measured`` has doc_id, stratum and m. Only
-    counts by (stratum, metric, step) reach the driver: MAX_STRATA + 1 strata at most, fixed numbers of metrics and
-    steps. A key is ("own", value), or ("rest", None) for all other strata together."""
+_CUTS = ", ".join(f"cut_{m} double" for m in METRICS)
+
+
+def _chooser(max_false: float, delta: float, strata: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, dict[tuple, dict[int, int]]] = {0: {}, 1: {}}
+        for quality, metric, step, n in rows[["quality", "metric", "step", "n"]].itertuples(index=False):
+            counts[quality].setdefault((0, metric), {})[step] = n
+        n = int(rows.n[(rows.quality == 1) & (rows.metric == METRICS[0])].sum())
+        chosen = choose_steps(counts[1], counts[0], {0: n} if n else {}, max_false, delta, strata)
+        return pd.DataFrame([[key[0], *(chosen[0, m] / GRID if (0, m) in chosen else None for m in METRICS)]], columns=["own_stratum", *(f"cut_{m}" for m in METRICS)])
+
+    return run
+
+
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
+    """(own_stratum, cut_<ratio> ...): the certified cutoffs, null where none is armed. ``measured`` has doc_id, stratum, copy (a hash of
+    the text) and m. A stratum's counts by ratio and step, 600 rows at most, meet in one task; the driver sees one number."""
     told = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     steps = F.array(*[F.struct(F.lit(m).alias("metric"), _step(m).alias("step")) for m in METRICS])
-    held = measured.filter(~base_failed()).select("doc_id", "stratum", steps.alias("steps")).join(told, "doc_id")
-    table = cut(held.select("stratum", "quality", F.explode("steps").alias("s")).groupBy("stratum", "quality", "s.metric", "s.step").count())
-    sizes = table.filter((F.col("metric") == METRICS[0]) & (F.col("quality") == 1)).groupBy("stratum").agg(F.sum("count").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).select(F.col("stratum").alias("own"), F.lit(True).alias("mine"))
-    rows = table.join(F.broadcast(top), F.col("stratum").eqNullSafe(F.col("own")), "left")
-    rows = rows.groupBy("mine", "own", "quality", "metric", "step").agg(F.sum("count").alias("n"))
-    counts: dict[int, dict[tuple, dict[int, int]]] = {0: {}, 1: {}}
-    totals: dict = {}
-    for r in rows.collect():
-        key = ("own", r.own) if r.mine else ("rest", None)
-        own = counts[r.quality].setdefault((key, r.metric), {})
-        own[r.step] = own.get(r.step, 0) + r.n
-        if r.metric == METRICS[0] and r.quality == 1:
-            totals[key] = totals.get(key, 0) + r.n
-    return choose_steps(counts[1], counts[0], totals, max_false, delta), set(totals)
-
-
-def verdict(chosen: dict, strata: set) -> Column:
-    """True where no armed rule rejects. The thresholds are literals: at most MAX_STRATA + 1 short conjunctions."""
-
-    def passes(key: tuple) -> Column:
-        out = F.lit(True)
-        for metric in METRICS:
-            if (key, metric) in chosen:
-                out = out & (F.col(f"m.{metric}") <= chosen[key, metric] / GRID)
-        return out
+    held = measured.filter(~base_failed()).select("doc_id", "stratum", "copy", steps.alias("steps")).join(told, "doc_id")
+    held = held.groupBy("stratum", "copy").agg(F.max("quality").alias("quality"), F.first("steps").alias("steps"))
+    counts = cut(held.select("stratum", "quality", F.explode("steps").alias("s")).groupBy("stratum", "quality", "s.metric", "s.step").agg(F.count("*").alias("n")))
+    strata = counts.filter("quality = 1").select("stratum").distinct().count()
+    kind = dict(measured.dtypes)["stratum"]
+    return cut(counts.groupBy("stratum").applyInPandas(_chooser(max_false, delta, strata), f"own_stratum {kind}, {_CUTS}"))
+
+
+def judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``rows`` (stratum, m, ...) with ``kept``: whether no base rule and no armed rule rejects."""
+    size = cutoffs.agg(F.sum(F.octet_length(F.coalesce("own_stratum", F.lit(""))) + 64)).first()[0] or 0
+    met = rows.join(F.broadcast(cutoffs) if size <= BROADCAST_BYTES else cutoffs, F.col("stratum").eqNullSafe(F.col("own_stratum")), "left")
+    passes = ~base_failed()
+    for metric in METRICS:
+        passes = passes & F.coalesce(F.col(f"m.{metric}") <= F.col(f"cut_{metric}"), F.lit(True))
+    return met.withColumn("kept", passes)
+
 
-    out = passes(("rest", None))
-    for key in sorted((k for k in strata if k[0] == "own"), key=str):
-        out = F.when(F.col("stratum").eqNullSafe(F.lit(key[1]).cast("string")), passes(key)).otherwise(out)
-    return out
+def _measured(docs: DataFrame, stratum: str) -> DataFrame:
+    return docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("copy"), measure_udf("text").alias("m"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
     """Per row of ``docs``: doc_id, the measures, base_failed and kept."""
     small_batches(docs.sparkSession)
-    rows = cut(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), measure_udf("text").alias("m")))
-    chosen, strata = certified_cutoffs(rows, labels, max_false, delta)
-    return rows.select("doc_id", "m.*", base_failed().alias("base_failed"), (~base_failed() & verdict(chosen, strata)).alias("kept"))
+    rows = cut(_measured(docs, stratum))
+    return judged(rows, certified_cutoffs(rows, labels, max_false, delta)).select("doc_id", "m.*", base_failed().alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass base rules and certified thresholds. The measures are taken again
-    in the second pass, so no text is ever shuffled."""
+    """The rows of ``docs``, all columns, that pass base rules and certified thresholds. A first pass measures the labelled documents, found by
+    a bitmap of fixed size, a second one all, so no text is ever shuffled."""
     small_batches(docs.sparkSession)
-    value = F.col(stratum).cast("string").alias("stratum")
-    chosen, strata = certified_cutoffs(docs.select("doc_id", value, measure_udf("text").alias("m")), labels, max_false, delta)
-    rows = docs.select(F.struct("*").alias("row"), value, measure_udf("text").alias("m"))
-    return rows.filter(~base_failed() & verdict(chosen, strata)).select("row.*")
+    own = docs.select("doc_id", F.col(stratum).alias("stratum"), "text")
+    labelled, _ = marked(own, labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).filter("doc_id IS NOT NULL"), ("doc_id",))
+    cutoffs = certified_cutoffs(_measured(labelled, "stratum"), labels, max_false, delta)
+    rows = docs.select(F.struct("*").alias("row"), F.col(stratum).cast("string").alias("stratum"), measure_udf("text").alias("m"))
+    return judged(rows, cutoffs).filter("kept").select("row.*")

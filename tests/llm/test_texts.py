@@ -64,6 +64,19 @@ def test_quality_rules_find_junk_and_keep_good(spark):
     assert all(r.kept == (r.doc_id < 3000) for r in rows)
 
 
+def test_every_stratum_has_its_own_thresholds(spark):
+    """Also the three hundredth; and copies of a labelled text are one trial."""
+    good = [(1000 * s + k, " ".join(f"w{s}x{k}x{i}" for i in range(12)), f"s{s:03d}") for s in range(300) for k in range(3)]
+    many = [(10**6 + k, " ".join(f"w{k}x{i}" for i in range(20)), "s299") for k in range(2500)]
+    copies = [(2 * 10**6 + k, " ".join(f"c{i}" for i in range(20)), "copied") for k in range(2500)]
+    junk = [(3 * 10**6 + k, " ".join(f"W{k}X{i}!!" for i in range(20)), s) for s, base in (("s299", 0), ("copied", 100)) for k in range(base, base + 50)]
+    docs = spark.createDataFrame(good + many + copies + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, int(d < 3 * 10**6)) for d, _, _ in good + many + copies + junk], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.quality_report(docs, labels).collect()}
+    assert not any(kept[d] for d, _, s in junk if s == "s299") and all(kept[d] for d, _, s in [*good, *many, *copies, *junk] if d < 3 * 10**6 or s == "copied")
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {d for d, k in kept.items() if k}
+
+
 def spans_by_definition(text):
     out = []
     for kind, pattern, least in (
