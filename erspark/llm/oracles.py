@@ -29,19 +29,25 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) LEFT JOIN near
 """
 
 SHARDING = r"""
-WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END, n::BIGINT)) AS tb),
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END, n::BIGINT)) AS tb),
 r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS text, substr(md5(coalesce(text, '')), 1, 16) AS tk,
   substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS ik FROM documents),
 c AS (SELECT DISTINCT text FROM r),
 h AS (SELECT text, hex(encode(text)) AS hx FROM c),
 s AS (SELECT text, xor(4294967295::BIGINT, list_reduce(list_transform(range(CAST(length(hx) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)),
   lambda x, y: xor(x >> 8, tb[(xor(x, y) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM h, crc),
-o AS (SELECT *, sum(size) OVER (ORDER BY tk, ik, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop,
-  row_number() OVER (ORDER BY tk, ik, doc_id NULLS FIRST, size) AS rk, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY tk) AS gs FROM r),
-g AS (SELECT *, CASE WHEN gs * 8 * 64 > total THEN 2 * stop - size ELSE min(stop - size) OVER (PARTITION BY tk) + max(stop) OVER (PARTITION BY tk) END AS middle FROM o),
-p AS (SELECT *, least(CAST((middle * 8) // (2 * total) AS INTEGER), 7) AS shard FROM g)
+t AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM r),
+b AS (SELECT tk, bytes, row_number() OVER (ORDER BY bytes DESC, tk) AS nr FROM (SELECT tk, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY tk), t WHERE bytes * 8 * 64 > total),
+f(nr, room, tk, shard) AS (SELECT CAST(0 AS BIGINT), list_transform(range(8), lambda k: (total + 7) // 8), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER) FROM t
+  UNION ALL SELECT b.nr, CASE WHEN bytes <= list_max(room) THEN list_transform(room, lambda x, k: CASE WHEN k = list_position(room, list_max(room)) THEN x - bytes ELSE x END) ELSE room END, b.tk,
+    CASE WHEN bytes <= list_max(room) THEN CAST(list_position(room, list_max(room)) - 1 AS INTEGER) END FROM f JOIN b ON b.nr = f.nr + 1),
+e AS (SELECT list_transform(range(1, 8), lambda k: 2 * list_sum(room[1:k])) AS ends FROM f ORDER BY nr DESC LIMIT 1),
+o AS (SELECT r.*, f.tk IS NOT NULL AS big, f.shard AS own_shard, CASE WHEN f.shard IS NULL THEN size ELSE 0 END AS laid FROM r LEFT JOIN f ON f.tk = r.tk),
+u AS (SELECT *, sum(laid) OVER (ORDER BY tk, ik, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop FROM o),
+g AS (SELECT *, CASE WHEN big THEN 2 * stop - laid ELSE min(stop - laid) OVER (PARTITION BY tk) + max(stop) OVER (PARTITION BY tk) END AS middle FROM u),
+p AS (SELECT g.*, coalesce(own_shard, CAST(len(list_filter(ends, lambda x: middle >= x)) AS INTEGER)) AS shard FROM g, e)
 SELECT p.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
-  CAST(rk - min(rk) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY tk, ik, doc_id NULLS FIRST, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM p JOIN s USING (text)
 """
 

@@ -4,10 +4,14 @@ Rows are ordered by a digest of the text, then by a digest of the doc_id, so equ
 sample of keys (at most about ``SAMPLE`` * ranges of them) gives quantile boundaries; rows are dealt into the ranges
 between them, and a range that still holds over ``OVERFULL`` times its share is divided again at its own sample
 keys. Ranges only make the order distributed: exact sizes and counts before each range and within it give every row
-its global offset, and the offset decides the shard. Equal texts stay in one shard, the one that holds the middle of
-the group, unless the group exceeds 1/64 of a shard: such a group (there are at most 64 * n_shards) is laid out row by row.
+its global offset, and the offset decides the shard.
 
-Native: DataFrame functions only; the driver sees totals and boundaries (MAX_RANGES short keys at most).
+Equal texts stay in one shard wherever they fit into one: groups above 1/``GROUP_PART`` of a shard (there are fewer than
+GROUP_PART * n_shards) are packed first, the largest first, each into the least filled shard if it fits there; the others
+are laid in key order over what room the shards have left, and a smaller group goes where its middle falls. A group that fits nowhere is
+laid out row by row.
+
+Native: DataFrame functions only; the driver sees totals, boundaries (MAX_RANGES short keys at most) and the large groups.
 
 Defined cases: a null text has size 1 and crc32 0 and groups with empty texts; null doc_ids sort as empty; equal rows
 are interchangeable; one row larger than a shard fills it alone; extra columns are ignored; an empty table gives no rows.
@@ -28,7 +32,7 @@ ROWS_PER_RANGE = 20_000
 MAX_RANGES = 4096
 SAMPLE = 48
 OVERFULL = 1.5
-#: Groups of equal texts above this part of a shard may be divided.
+#: Groups of equal texts above this part of a shard are packed before all others.
 GROUP_PART = 64
 _ORDER = ("text_key", "id_key", "doc_id")
 
@@ -63,7 +67,7 @@ def _range_of(bounds: list[str]) -> Column:
 
 
 def splitters(rows: DataFrame, big: DataFrame, total: int, n_ranges: int) -> list[str]:
-    """Boundary keys. ``big`` names the text keys of groups that may be divided; other groups are never cut."""
+    """Boundary keys. ``big`` names the text keys of large groups, which ranges may cut; other groups are never cut."""
     chance = F.col("size") * float(SAMPLE * n_ranges) / float(max(1, total))
     drawn = F.pmod(F.xxhash64(_key(), F.col("size")), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.filter(drawn < chance).select("text_key", _key().alias("key"))
@@ -89,31 +93,51 @@ def splitters(rows: DataFrame, big: DataFrame, total: int, n_ranges: int) -> lis
     return sorted({*bounds, *again})
 
 
+def packed(groups: list[tuple[str, int]], total: int, n_shards: int) -> tuple[dict[str, int], list[int]]:
+    """The shard of each group (text key, bytes) that fits into one, and the room that all shards have left."""
+    room = [-(-total // n_shards)] * n_shards
+    where = {}
+    for key, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        best = max(range(n_shards), key=lambda k: (room[k], -k))
+        if size <= room[best]:
+            where[key] = best
+            room[best] -= size
+    return where, room
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null)."""
+    spark = docs.sparkSession
     rows = cut(keyed(docs, id_col, text_col))
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    big = cut(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * n_shards * GROUP_PART > total).select("text_key"))
+    large = rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * n_shards * GROUP_PART > total)
+    groups = [(r.text_key, r.bytes) for r in large.collect()]
+    where, room = packed(groups, total, n_shards)
+    big = spark.createDataFrame([(key, where.get(key)) for key, _ in groups], "text_key string, own_shard int")
     n_ranges = min(MAX_RANGES // 2, max(2 * n_shards, math.ceil(count / ROWS_PER_RANGE)))
     bounds = splitters(rows, big, total, n_ranges)
 
     dealt = rows.withColumn("part", _range_of(bounds))
     dealt = dealt.join(F.broadcast(big.withColumn("big", F.lit(True))), "text_key", "left")
+    dealt = dealt.withColumn("laid", F.when(F.col("own_shard").isNull(), F.col("size")).otherwise(0))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    sums = sums.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
+    sums = dealt.groupBy("part").agg(F.sum("laid").alias("bytes"))
+    sums = sums.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
 
-    inside = Window.partitionBy("part").orderBy("text_key", "id_key", F.col("doc_id").asc_nulls_first(), "size")
+    order = ["text_key", "id_key", F.col("doc_id").asc_nulls_first(), "size"]
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     group = Window.partitionBy("part", "text_key")
-    placed = dealt.withColumn("stop", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(inside).cast("long"))
-    placed = placed.withColumn("group_stop", F.max("stop").over(group)).withColumn("group_start", F.min(F.col("stop") - F.col("size")).over(group))
+    placed = dealt.withColumn("stop", F.sum("laid").over(inside))
+    placed = placed.withColumn("group_stop", F.max("stop").over(group)).withColumn("group_start", F.min(F.col("stop") - F.col("laid")).over(group))
     placed = placed.join(F.broadcast(sums), "part")
-    twice = F.when(F.col("big"), 2 * F.col("stop") - F.col("size")).otherwise(F.col("group_start") + F.col("group_stop"))
-    middle = 2 * F.col("bytes_before") + twice
-    shard = F.least(F.floor(middle * n_shards / F.lit(2 * max(1, total))), F.lit(n_shards - 1)).cast("int")
-    placed = cut(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("rank")).alias("rank")))
-    first = F.broadcast(placed.groupBy("shard").agg(F.min("rank").alias("first")))
-    return placed.join(first, "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    middle = 2 * F.col("bytes_before") + F.when(F.col("big"), 2 * F.col("stop") - F.col("laid")).otherwise(F.col("group_start") + F.col("group_stop"))
+    ends = [2 * sum(room[: k + 1]) for k in range(n_shards - 1)]
+    free = sum((F.when(middle >= end, 1).otherwise(0) for end in ends), F.lit(0))
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "text_key", "id_key", "part", F.coalesce("own_shard", free).cast("int").alias("shard")))
+    past = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy(*order)).cast("long") - 1
+    return placed.withColumn("rank", rank).join(F.broadcast(ahead), ["part", "shard"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

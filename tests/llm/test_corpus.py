@@ -204,6 +204,24 @@ def test_hot_groups_are_spread_and_small_groups_stay(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_groups_that_fit_into_a_shard_stay_whole(spark):
+    """Groups from a hundredth to nearly all of a shard, beside one that is larger than a shard."""
+    rows, number = [], 0
+    for text, times in [("hot " * 20, 4000), *((f"group {g} " + "z" * 70, n) for g, n in enumerate((1500, 1200, 900, 700, 500, 300, 200, 100, 40, 40, 40)))]:
+        rows += [(number + k, text) for k in range(times)]
+        number += times
+    rows += [(number + k, f"single {k} " + "y" * 65) for k in range(4000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts, size, where = dict(rows), Counter(), {}
+    for r in got:
+        size[r.shard] += r.size
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(size) == 8 and max(size.values()) < 1.05 * min(size.values())
+    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot")) and len(where["hot " * 20]) > 1
+    for shard in size:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_overfull_ranges_are_divided(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 50)
     monkeypatch.setattr(sharding, "OVERFULL", 0.5)
