@@ -148,7 +148,7 @@ def slots(sources: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS) -> D
     ranges = ranges.withColumn("order", rounds_of(F.col("length"), F.col("shard").cast("long") + 32452843))
     dealt = _spread(ranges, "n", ("source_no", "shard")).withColumn("position", permuted(F.col("places_before") + F.col("k"), F.col("length"), F.col("order")))
     dealt = dealt.select("shard", "position", "source_no", (F.col("slots_before") + F.col("k")).alias("slot"))
-    return dealt.join(own, ["source_no", "slot"]).select("shard", "position", "source_no", "pass", "block", "take", "whole")
+    return dealt.join(own.hint("merge"), ["source_no", "slot"]).select("shard", "position", "source_no", "pass", "block", "take", "whole")
 
 
 def pieces(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -185,7 +185,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     output shards that hold any of them)."""
     rows = sized(docs)
     sources = targets(rows, block)
-    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)), ["source_no", "block"], "left")
+    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)).hint("merge"), ["source_no", "block"], "left")
     part = F.greatest(F.least(F.col("high"), F.col("short")) - F.col("low"), F.lit(0))
     taken = F.coalesce(F.col("whole") * (F.col("high") - F.col("low")) + part, F.lit(0))
     used = F.coalesce(F.when(part > 0, F.array_append("shards", F.col("short_shard"))).otherwise(F.col("shards")), F.array().cast("array<int>"))
@@ -199,7 +199,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     n_chars, where there is such a column, follows). Rows of which nothing is taken are absent."""
     rows = sized(docs)
     sources = targets(rows, block)
-    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)), ["source_no", "block"])
+    joined = pieces(rows, sources, block).join(block_uses(slots(sources, block)).hint("merge"), ["source_no", "block"])
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))
     joined = joined.withColumn("copy", copies).withColumn("high", F.when(F.col("copy") <= F.col("whole"), F.col("high")).otherwise(F.least("high", "short")))
     joined = joined.filter(F.col("high") > F.col("low")).withColumn("from", F.col("block") * block - F.col("start"))

@@ -248,7 +248,7 @@ def test_pipeline(spark, sf):
 
 def test_pipeline_stages_match_brute_force(spark, sf):
     import corpus_pipeline as cp
-    from test_duplicates import fingerprint, groups
+    from test_duplicates import near_classes, near_prints_of
     from test_texts import base
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -257,7 +257,7 @@ def test_pipeline_stages_match_brute_force(spark, sf):
     assert {r.doc_id for r in first.collect()} == {r.doc_id for r in rows if not base(r.text)[-1]}  # sf0.001 has too few labels for more
     rows = first.collect()
     second = cp.STAGES[1][1](spark, first, sf)
-    assert {r.doc_id for r in second.collect()} == {c for _, _, c in groups([(r.doc_id, fingerprint(r.text)) for r in rows])}
+    assert Counter(r.doc_id for r in second.collect()) == near_classes([(r.doc_id, near_prints_of(r.text)) for r in rows])
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     third = cp.STAGES[2][1](spark, second, sf)
     hit = {k[0] for k in contamination([(r.doc_id, r.text) for r in second.collect()], [(r.item_id, r.text) for r in items]) if k[-1]}
