@@ -32,8 +32,13 @@ def clean_text(text: Column) -> Column:
 
 
 def _kgrams(text: Column, k: int) -> Column:
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substr(text, i, F.lit(k)))
-    return F.when(F.length(text) < k, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+    """By an array of characters, as finding the i-th character of a string takes time i."""
+
+    def grams(chars: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(chars) - k), lambda i: F.concat(*[F.get(chars, i + n) for n in range(k)]))
+        return F.when(F.size(chars) < k, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    return let(F.split(text, ""), grams)
 
 
 def kgrams(text: Column, k: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erspark.functions import text as T
+from erspark.plans.lineage import cut
 from erspark.plans.params import FeatureParams
 
 BROADCAST_BYTES = 32 << 20
@@ -13,10 +14,11 @@ BROADCAST_BYTES = 32 << 20
 
 def shingle_rows(products: DataFrame, k: int, short: bool = True) -> DataFrame:
     """(id, shingle, is_short): the distinct shingles of every cleaned title. Titles shorter than k give themselves, or nothing."""
-    rows = products.select("id", T.clean_text(F.col("title")).alias("c"))
-    if not short:
-        rows = rows.filter(F.length("c") >= k)
-    return rows.select("id", F.explode(T.char_shingles(F.col("c"), k)).alias("shingle"), (F.length("c") < k).alias("is_short"))
+    def own(c):
+        return F.transform(T.char_shingles(c, k), lambda g: F.struct(g.alias("shingle"), (F.length(c) < k).alias("is_short")))
+
+    rows = products.select("id", F.explode(T.let(T.clean_text(F.col("title")), own)).alias("s")).select("id", "s.shingle", "s.is_short")
+    return rows if short else rows.filter(~F.col("is_short"))
 
 
 def document_frequency(products: DataFrame, k: int) -> DataFrame:
@@ -32,7 +34,7 @@ def stop_shingles(products: DataFrame, k: int, share: float) -> DataFrame:
 def pruned_shingles(products: DataFrame, stops: DataFrame, k: int) -> DataFrame:
     """(id, shingle) without stop shingles; short titles are kept as they are. Stop shingles in more than a share t of the
     products number at most (mean title length) / t, yet they are broadcast only if their measured size allows."""
-    rows = shingle_rows(products, k)
+    rows, stops = shingle_rows(products, k), cut(stops)
     size = stops.agg(F.sum(F.octet_length("shingle") + 32)).first()[0] or 0
     stops = stops.select("shingle", F.lit(True).alias("is_stop"))
     named = F.broadcast(stops) if size <= BROADCAST_BYTES else stops

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from erspark.operators import minhash, sampling
 
-_DOCS = "docs AS (SELECT doc_id AS id, md5(text) AS true_model_id, substr(coalesce(text, ''), 1, 200) AS title, coalesce(source, '') AS shop FROM documents)"
+_DOCS = "docs AS (SELECT doc_id AS id, md5(text) AS true_model_id, coalesce(text, '') AS title, coalesce(source, '') AS shop FROM documents)"
 _LIKE = "x.id < y.id AND x.brand = y.brand AND x.type = y.type AND x.screen = y.screen"
 _PARTS = """parts AS (SELECT p_partkey AS id, concat_ws('|', p_name, p_brand, p_type) AS true_model_id,
   p_brand || ' ' || p_name || ' ' || p_type || ' ' || p_size || ' inch M' || p_partkey || 'X' || p_size || ' ' || p_size || lower(substr(p_type, 1, 2)) AS title,
@@ -30,11 +30,14 @@ _CRC = """tb AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8
 hashed AS (SELECT shingle, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(shingle) + 1), lambda i: CAST(ascii(substr(shingle, CAST(i AS INTEGER), 1)) AS BIGINT)),
   lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT)) AS x FROM (SELECT DISTINCT shingle FROM shingles), tb)"""
 _HASHES = ", ".join(f"({k}, {a}::HUGEINT, {b}::HUGEINT)" for k, (a, b) in enumerate(minhash.coefficients(16)))
+_PRUNED = f"{_STOPS}, pruned AS (SELECT id, shingle FROM shingles WHERE short OR shingle NOT IN (SELECT shingle FROM stops))"
 _SIGS = f"""coef(position, a, b) AS (VALUES {_HASHES}),
 sigs AS (SELECT id, position, CAST(min((a * x + b) % 4294967295) AS BIGINT) AS value FROM shingles JOIN hashed USING (shingle), coef GROUP BY id, position)"""
 _CANDIDATES = """bands AS (SELECT id, position // 2 AS band, list(value ORDER BY position) AS bucket FROM sigs GROUP BY id, position // 2),
 cands AS (SELECT DISTINCT x.id AS id1, y.id AS id2 FROM bands x JOIN bands y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id)"""
-_FULL_LSH = f"{_DOCS}, {_SHINGLES}, {_CRC}, {_SIGS}, {_CANDIDATES}"
+_CLASSES = """member AS (SELECT id, min(id) OVER (PARTITION BY sig) AS rep FROM (SELECT id, list(value ORDER BY position) AS sig FROM sigs GROUP BY id)),
+reps AS (SELECT id1, id2 FROM cands WHERE id1 IN (SELECT rep FROM member) AND id2 IN (SELECT rep FROM member))"""
+_FULL_LSH = f"{_DOCS}, {_SHINGLES}, {_PRUNED}, {_CRC}, {_SIGS.replace('FROM shingles JOIN', 'FROM pruned JOIN')}, {_CANDIDATES}, {_CLASSES}"
 _PAIR = "pairs AS (SELECT x.id AS id1, y.id AS id2, x.title AS t1, y.title AS t2 FROM parts x JOIN parts y ON y.id = x.id + 1)"
 _NLEV = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0.0 ELSE levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})) END"
 _WORD_PAIRS = f"""ow AS (SELECT id, word, regexp_replace(word, '[0-9]', '', 'g') AS a, regexp_replace(word, '[^0-9]', '', 'g') AS n FROM (SELECT DISTINCT id, unnest({_TITLE_WORD}) AS word FROM parts)),
@@ -91,8 +94,8 @@ _TRUTH = "truth AS (SELECT x.id AS id1, y.id AS id2 FROM docs x JOIN docs y ON x
 
 ORACLES: dict[str, str] = {
     "near_duplicate_pairs": f"""WITH {_FULL_LSH}, sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
-common AS (SELECT id1, id2, count(*) AS n FROM cands JOIN shingles x ON x.id = id1 JOIN shingles y ON y.id = id2 AND y.shingle = x.shingle GROUP BY id1, id2)
-SELECT c.id1, c.id2, round(coalesce(m.n, 0)::DOUBLE / (x.n + y.n - coalesce(m.n, 0)), 6) AS jaccard FROM cands c JOIN sizes x ON x.id = c.id1 JOIN sizes y ON y.id = c.id2 LEFT JOIN common m ON m.id1 = c.id1 AND m.id2 = c.id2""",
+common AS (SELECT id1, id2, count(*) AS n FROM reps JOIN shingles x ON x.id = id1 JOIN shingles y ON y.id = id2 AND y.shingle = x.shingle GROUP BY id1, id2)
+SELECT c.id1, c.id2, round(coalesce(m.n, 0)::DOUBLE / (x.n + y.n - coalesce(m.n, 0)), 6) AS jaccard FROM reps c JOIN sizes x ON x.id = c.id1 JOIN sizes y ON y.id = c.id2 LEFT JOIN common m ON m.id1 = c.id1 AND m.id2 = c.id2""",
     "clean_text": f"WITH {_DOCS} SELECT id, {_CLEAN} AS cleaned FROM docs",
     "char_shingles": f"WITH {_DOCS}, {_SHINGLES} SELECT id, shingle FROM shingles",
     "shingle_df": f"WITH {_DOCS}, {_SHINGLES} SELECT shingle, count(*) AS df FROM shingles WHERE NOT short GROUP BY shingle",
@@ -107,7 +110,8 @@ SELECT id, shingle AS feature FROM shingles WHERE short OR shingle NOT IN (SELEC
 UNION SELECT id, 'MW_' || word || '_' || i FROM words, range(2) r(i) WHERE i = 0 OR (regexp_matches(word, '[a-zA-Z]') AND regexp_matches(word, '[0-9]'))""",
     "feature_hash": f"WITH {_DOCS}, {_SHINGLES}, {_CRC} SELECT shingle, x AS hash FROM hashed",
     "minhash_signature": f"WITH {_DOCS}, {_SHINGLES}, {_CRC}, {_SIGS} SELECT id, CAST(position AS INTEGER) AS position, value FROM sigs",
-    "lsh_candidates": f"WITH {_FULL_LSH} SELECT id1, id2 FROM cands",
+    "lsh_candidates": f"WITH {_FULL_LSH} SELECT id1, id2 FROM reps",
+    "lsh_classes": f"WITH {_FULL_LSH} SELECT id, rep FROM member",
     "lsh_pair_rows": "SELECT 'sweep' AS kind, b AS bands, 200 // b AS rows FROM range(2, 201) r(b) WHERE 200 // b <> 1 UNION ALL SELECT 'tuning', b, 200 // b FROM range(1, 201) r(b) WHERE 200 % b = 0",
     "token_cosine": f"WITH {_PARTS}, {_PAIR}, {_COSINE} SELECT id1, id2, round(cos, 6) AS sim FROM cosine",
     "kgram_jaccard": f"""WITH {_PARTS}, {_PAIR}, g AS (SELECT id1, id2, list_distinct(list_transform(range(1, length(t1) - 1), lambda i: substr(t1, CAST(i AS INTEGER), 3))) AS a,
@@ -129,14 +133,19 @@ SELECT x.id AS id1, y.id AS id2, CASE WHEN x.shop = y.shop THEN 'shop' WHEN lowe
 g AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
 r(node, reached) AS (SELECT u, u FROM g UNION SELECT r.node, g.v FROM r JOIN g ON g.u = r.reached)
 SELECT node, min(reached) AS component FROM r GROUP BY node""",
-    "true_pairs": f"WITH {_DOCS}, {_TRUTH} SELECT id1, id2 FROM truth",
-    "transitive_pairs": f"WITH {_DOCS}, {_TRUTH} SELECT id1, id2 FROM truth",
+    "true_pairs": f"WITH {_DOCS} SELECT id, min(id) OVER c AS class_id, count(*) OVER c - 1 AS n_links FROM docs WINDOW c AS (PARTITION BY true_model_id)",
+    "transitive_pairs": """WITH RECURSIVE e AS (SELECT p_partkey AS u, lag(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS v FROM part),
+r(id, reached) AS (SELECT DISTINCT u, u FROM (SELECT u FROM e WHERE v IS NOT NULL UNION ALL SELECT v FROM e WHERE v IS NOT NULL) UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.reached AND e.v IS NOT NULL),
+c AS (SELECT id, min(reached) AS class_id FROM r GROUP BY id)
+SELECT id, class_id, count(*) OVER (PARTITION BY class_id) - 1 AS n_links FROM c""",
     "pair_metrics": f"WITH {_FULL_LSH}, {_TRUTH} " + _METRICS.format(f1="CASE WHEN pq + pc = 0 THEN 0 ELSE 2 * pq * pc / (pq + pc) END"),
     "bootstrap_oob": f"WITH o(seed, id) AS (VALUES {_oob()}) SELECT CAST(seed AS INTEGER) AS seed, CAST(n_nationkey AS BIGINT) AS id FROM o JOIN nation ON n_nationkey = id",
     "grid_configs": """SELECT CAST(row_number() OVER (ORDER BY mw, stop, b) - 1 AS INTEGER) AS config_id, CAST(b AS INTEGER) AS "Bands", CAST(200 // b AS INTEGER) AS "Rows", CAST(b * (200 // b) AS INTEGER) AS "Signatures",
 CAST(0.528 AS DOUBLE) AS "Threshold", 4 AS "Shingle_Size", mw AS "MW_Weight", CAST(stop AS DOUBLE) AS "Stop_Freq", CAST(0.718 AS DOUBLE) AS "Gamma", CAST(0.454 AS DOUBLE) AS "Epsilon", CAST(0.819 AS DOUBLE) AS "Mu",
 CAST(0.558 AS DOUBLE) AS "Alpha", CAST(0.859 AS DOUBLE) AS "Beta", CAST(0.190 AS DOUBLE) AS "Delta" FROM range(2, 201) r(b), (VALUES (0), (2)) m(mw), (VALUES (0.0138), (1.0)) s(stop) WHERE 200 // b <> 1""",
-    "grid_summary": """SELECT n_regionkey, round(avg(length(n_name) / 10), 6) AS mean_f1, round(avg(length(n_name) / 20), 6) AS mean_f1_star FROM nation GROUP BY n_regionkey""",
+    "grid_summary": "SELECT p_size AS \"Bands\", CAST(length(p_type) AS INTEGER) AS \"Rows\", " + ", ".join(
+        f'round(avg((p_partkey % {n}) / {n}.0::DOUBLE), 6) AS "{name}"' for n, name in ((97, "Mean_F1"), (89, "Mean_F1_star"), (83, "Mean_PQ"), (79, "Mean_PC"), (73, "Frac_Comps"))
+    ) + " FROM part GROUP BY p_size, length(p_type)",
     "key_value_match": f"WITH RECURSIVE {_PARTS}, {_greedy('y.id = x.id + 1')} SELECT id1, id2, round(sim, 6) AS sim, round(w, 6) AS w, m, array_to_string(list_sort(matched), '|') AS matched FROM greedy",
     "mw_overlap": f"WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)} SELECT id1, id2, CASE WHEN NOT blocked THEN round(overlap, 6) END AS overlap FROM ovl",
     "pair_similarity": f"""WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)}, {_COSINE}, {_WORD_PAIRS}, {_TITLE_SIM},

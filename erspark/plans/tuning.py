@@ -25,10 +25,10 @@ SCHEMA = "number long, value double, params string"
 class MatchingObjective:
     """Mean F1 of bootstraps; features are kept by feature setting."""
 
-    def __init__(self, products: DataFrame, target: int = 200, bootstraps: int = 5):
-        self.products = cut(sampling.numbered(products))
+    def __init__(self, products: DataFrame, target: int = 200, bootstraps: int = 5, draw: str = "hashed"):
+        self.products = cut(products)
         self.target, self.seeds = target, range(bootstraps)
-        self.oob = cut(sampling.out_of_bag(self.products, self.seeds, self.products.count()))
+        self.oob = cut(sampling.drawn(self.products, self.seeds, draw))
         self.pairs = lsh.tuning_lsh_params(target)
         self.kept: dict[FeatureParams, DataFrame] = {}
 
@@ -49,8 +49,8 @@ class MatchingObjective:
             return 0.0
         own = self.products.join(ids, "id", "left_semi")
         pairs = cut(lsh.candidate_pairs(cut(minhash.signatures(features.join(ids, "id", "left_semi"), p.size, seed)), p))
-        found = clustering.without_singletons(clustering.clusters(matching.pair_similarity(pairs, own, m), m.epsilon))
-        row = metrics.metrics(metrics.counts(pairs, clustering.cluster_pairs(found), metrics.true_pairs(own)), ids.select(F.count("*")).first()[0] * F.lit(1)).first()
+        found = clustering.clusters(matching.pair_similarity(pairs, own, m), m.epsilon)
+        row = metrics.metrics(metrics.class_counts(pairs, found, own), ids.select(F.count("*")).first()[0] * F.lit(1)).first()
         return float(row.f1)
 
 

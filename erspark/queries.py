@@ -1,8 +1,8 @@
 """The registered queries of the entity-resolution operators, and their DuckDB SQL.
 
-Documents serve as products with their head as title where SQL fixes the result, and with their whole text in the queries named
-``..._whole`` and in those without SQL; parts serve where model words are needed. Pairs for the leaf measures are
-parts whose keys differ by a fixed step, so both sides run over all rows.
+Documents serve as products with their whole text as title; parts serve where model words are needed. Pairs for the leaf measures are
+parts whose keys differ by a fixed step, so both sides run over all rows. Classes of copies are not written out as pairs: such queries
+give pairs of representatives and membership, or a row per id with its class and number of links.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from erspark.functions import similarity as S
 from erspark.functions import text as T
@@ -34,10 +35,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_view(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def whole_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_view(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=None)
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_view(spark.read.parquet(f"{sf_dir}/part.parquet"))
 
@@ -63,33 +60,46 @@ def _r(c):
     return F.round(c, 6)
 
 
-def near_duplicate_pairs(spark, d, view=docs):
-    """Candidate pairs by MinHash and LSH with the exact Jaccard index of their shingles."""
-    products = view(spark, d)
-    shingles = cut(products.select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features")))
-    pairs = lsh.candidate_pairs(cut(minhash.signatures(shingles, SMALL.size)), SMALL)
+def _signed(spark, d):
+    """Signatures of the pruned shingles of all documents that have any."""
+    products = docs(spark, d)
+    rows = feat.pruned_shingles(products, feat.stop_shingles(products, K, FULL[0].stop_share), K)
+    return cut(minhash.signatures_of_rows(rows.withColumnRenamed("shingle", "feature"), SMALL.size))
+
+
+def near_duplicate_pairs(spark, d):
+    """Candidate pairs by MinHash and LSH, one for each two classes of equal signatures, with the exact Jaccard index of the whole shingle
+    sets of their representatives; ``lsh_classes`` has the members."""
+    pairs = cut(lsh.class_pairs(_signed(spark, d), SMALL))
+    ids = pairs.select(F.col("id1").alias("id")).union(pairs.select("id2")).distinct()
+    shingles = docs(spark, d).join(ids, "id", "left_semi").select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features"))
+    shingles = cut(shingles)
     a, b = (shingles.select(F.col("id").alias(f"id{n}"), F.col("features").alias(f"s{n}")) for n in (1, 2))
     return pairs.join(a, "id1").join(b, "id2").select("id1", "id2", _r(S.jaccard_of_sets(F.col("s1"), F.col("s2"))).alias("jaccard"))
 
 
-def clean_text(spark, d, view=docs):
-    return view(spark, d).select("id", T.clean_text(F.col("title")).alias("cleaned"))
+def lsh_classes(spark, d):
+    return lsh.classes(_signed(spark, d))
 
 
-def char_shingles(spark, d, view=docs):
-    return feat.shingle_rows(view(spark, d), K).select("id", "shingle")
+def clean_text(spark, d):
+    return docs(spark, d).select("id", T.clean_text(F.col("title")).alias("cleaned"))
 
 
-def shingle_df(spark, d, view=docs):
-    return feat.document_frequency(view(spark, d), K)
+def char_shingles(spark, d):
+    return feat.shingle_rows(docs(spark, d), K).select("id", "shingle")
 
 
-def stop_shingles(spark, d, view=docs):
-    return feat.stop_shingles(view(spark, d), K, FULL[0].stop_share)
+def shingle_df(spark, d):
+    return feat.document_frequency(docs(spark, d), K)
 
 
-def pruned_shingles(spark, d, view=docs):
-    products = view(spark, d)
+def stop_shingles(spark, d):
+    return feat.stop_shingles(docs(spark, d), K, FULL[0].stop_share)
+
+
+def pruned_shingles(spark, d):
+    products = docs(spark, d)
     return feat.pruned_shingles(products, feat.stop_shingles(products, K, FULL[0].stop_share), K).select("id", "shingle")
 
 
@@ -109,17 +119,17 @@ def hybrid_features(spark, d):
     return feat.hybrid_feature_rows(parts(spark, d), FULL[0])
 
 
-def feature_hash(spark, d, view=docs):
-    return feat.shingle_rows(view(spark, d), K).select("shingle").distinct().select("shingle", F.crc32(F.col("shingle").cast("binary")).alias("hash"))
+def feature_hash(spark, d):
+    return feat.shingle_rows(docs(spark, d), K).select("shingle").distinct().select("shingle", F.crc32(F.col("shingle").cast("binary")).alias("hash"))
 
 
-def minhash_signature(spark, d, view=docs):
-    shingles = view(spark, d).select("id", T.char_shingles(T.clean_text(F.col("title")), K).alias("features"))
-    return minhash.signatures(shingles, HASHES).select("id", F.posexplode("sig").alias("position", "value"))
+def minhash_signature(spark, d):
+    rows = feat.shingle_rows(docs(spark, d), K).select("id", F.col("shingle").alias("feature"))
+    return minhash.signatures_of_rows(rows, HASHES).select("id", F.posexplode("sig").alias("position", "value"))
 
 
-def lsh_candidates(spark, d, view=docs):
-    return near_duplicate_pairs(spark, d, view).select("id1", "id2")
+def lsh_candidates(spark, d):
+    return lsh.class_pairs(_signed(spark, d), SMALL)
 
 
 def lsh_pair_rows(spark, d):
@@ -190,42 +200,49 @@ def pair_similarity(spark, d):
     return matching.pair_similarity(like_pairs(spark, d), products, FULL[1]).select("id1", "id2", _r(F.col("sim")).alias("sim"), _r(F.col("dist")).alias("dist"))
 
 
+def _chained(spark, d, *by):
+    """Each part with the next smaller key of an equal group."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    before = F.lag("p_partkey").over(Window.partitionBy(*by).orderBy("p_partkey"))
+    return part.select(F.col("p_partkey").alias("id2"), before.alias("id1")).filter("id1 IS NOT NULL").select("id1", "id2")
+
+
 def components(spark, d):
-    """Components of the graph that links parts with an equal name and size."""
-    edges = spark.read.parquet(f"{d}/part.parquet").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("v"), F.collect_list("p_partkey").alias("all"))
-    more = spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("v"), F.collect_list("p_partkey").alias("all"))
-    edges = edges.union(more.select("p_brand", "p_size", "v", "all")).select(F.explode("all").alias("u"), "v")
-    return connected_components(edges).select("node", "component")
+    """Components of the graph that links parts with an equal name and size, or an equal brand, type and size."""
+    edges = _chained(spark, d, "p_name", "p_size").union(_chained(spark, d, "p_brand", "p_type", "p_size"))
+    return connected_components(edges.select(F.col("id1").alias("u"), F.col("id2").alias("v"))).select("node", "component")
 
 
 def clusters(spark, d):
-    products = whole_docs(spark, d)
+    products = docs(spark, d)
     pairs = cut(candidates(products, FULL[0], WIDE))
     return clustering.without_singletons(clustering.clusters(matching.pair_similarity(pairs, products, FULL[1]), FULL[1].epsilon))
 
 
 def cluster_pairs(spark, d):
-    return clustering.cluster_pairs(clusters(spark, d))
+    """The pairs within clusters: a row per id with its cluster and number of links."""
+    return clustering.linked(clusters(spark, d), "cluster_id")
 
 
 def transitive_pairs(spark, d):
-    return clustering.resolve_transitivity(true_pairs(spark, d))
+    """The closure of open chains: parts of an equal name are linked to the next one only."""
+    return clustering.transitive_classes(_chained(spark, d, "p_name"))
 
 
 def true_pairs(spark, d):
-    return metrics.true_pairs(docs(spark, d))
+    return clustering.linked(docs(spark, d).select("id", "true_model_id"), "true_model_id")
 
 
-def pair_metrics(spark, d, view=docs):
-    """PQ, PC, F1* and the fraction of comparisons of the LSH candidates; the candidates serve as predictions too."""
-    products = view(spark, d)
-    pairs = cut(near_duplicate_pairs(spark, d, view).select("id1", "id2"))
-    m = metrics.metrics(metrics.counts(pairs, pairs, metrics.true_pairs(products)), F.lit(products.count()))
+def pair_metrics(spark, d):
+    """PQ, PC, F1* and the fraction of comparisons of all LSH candidates, counted by classes; the candidates serve as predictions too."""
+    products, signed = docs(spark, d).select("id", "true_model_id"), _signed(spark, d)
+    counted = metrics.candidate_counts(cut(lsh.classes(signed)), cut(lsh.class_pairs(signed, SMALL)), products)
+    m = metrics.metrics(counted, F.lit(products.count()))
     return m.select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
 
 
 def cluster_metrics(spark, d):
-    return evaluate(whole_docs(spark, d), FULL[0], WIDE, FULL[1]).select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
+    return evaluate(docs(spark, d), FULL[0], WIDE, FULL[1]).select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
 
 
 def bootstrap_oob(spark, d):
@@ -235,7 +252,7 @@ def bootstrap_oob(spark, d):
 
 def bootstrap_oob_documents(spark, d):
     """Out-of-bag rows of a table that grows."""
-    rows = cut(sampling.numbered(whole_docs(spark, d).select("id")))
+    rows = cut(sampling.numbered(docs(spark, d).select("id")))
     return sampling.out_of_bag(rows, range(3), rows.count())
 
 
@@ -244,12 +261,17 @@ def grid_configs(spark, d):
 
 
 def grid_summary(spark, d):
-    part = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey", F.length("n_name").alias("n"))
-    return part.groupBy("n_regionkey").agg(_r(F.avg(F.col("n") / 10)).alias("mean_f1"), _r(F.avg(F.col("n") / 20)).alias("mean_f1_star")).orderBy(F.desc("mean_f1_star"), "n_regionkey")
+    """Means and order of a grid's results, over a table of measures by bootstrap and configuration made from parts."""
+    value = lambda n: (F.col("p_partkey") % n) / float(n)
+    part = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_size").alias("Bands"), F.length("p_type").alias("Rows"), value(97).alias("f1"), value(89).alias("f1_star"), value(83).alias("pq"), value(79).alias("pc"), value(73).alias("frac_comp")
+    )
+    rows = sweep.best_first(sweep.summarised(part, ("Bands", "Rows")), "Bands", "Rows")
+    return rows.select("Bands", "Rows", *[_r(F.col(c)).alias(c) for c in sweep.MEANS])
 
 
 def _published_grid(spark, d):
-    return sweep.run_grid(whole_docs(spark, d), sweep.grid())
+    return sweep.run_grid(docs(spark, d), sweep.grid())
 
 
 def grid_search(spark, d):
@@ -260,26 +282,12 @@ def curve(spark, d):
     return curves.performance_curve(_published_grid(spark, d))
 
 
-def _whole(query):
-    def run(spark, d):
-        return query(spark, d, whole_docs)
-
-    run.__name__ = f"{query.__name__}_whole"
-    return run
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        near_duplicate_pairs, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, title_model_words, attr_model_words, brand_words,
+        near_duplicate_pairs, lsh_classes, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, title_model_words, attr_model_words, brand_words,
         hybrid_features, feature_hash, minhash_signature, lsh_candidates, lsh_pair_rows, token_cosine, kgram_jaccard, norm_levenshtein, alnum_split, weighted_mw, title_comp,
         brands, resolutions, block_checks, key_value_match, mw_overlap, pair_similarity, components, clusters, cluster_pairs, transitive_pairs, true_pairs,
         pair_metrics, cluster_metrics, bootstrap_oob, bootstrap_oob_documents, grid_configs, grid_summary, grid_search, curve,
     )
 }
-QUERIES |= {
-    f.__name__: f
-    for f in map(_whole, (
-        near_duplicate_pairs, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, feature_hash, minhash_signature, lsh_candidates, pair_metrics,
-    ))
-}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from erspark.operators.sampling import numbered
+from erspark.plans.lineage import cut
 
 SCHEMA = "map<string,array<struct<title:string,shop:string,featuresMap:map<string,string>>>>"
 
@@ -19,8 +21,9 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
     features = F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(last(k), F.lit("")).alias("value")))
-    number = F.row_number().over(Window.orderBy("i", "j")).cast("long") - 1
-    return items.select(number.alias("id"), "true_model_id", F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.shop", F.lit("")).alias("shop"), features.alias("features"))
+    rows = cut(items.select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("id"), "true_model_id", "p"))
+    items = numbered(rows)
+    return items.select(F.col("position").cast("long").alias("id"), "true_model_id", F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.shop", F.lit("")).alias("shop"), features.alias("features"))
 
 
 def _feature(key, value):
@@ -28,8 +31,8 @@ def _feature(key, value):
     return F.struct(key.alias("key"), F.coalesce(value, F.lit("")).alias("value"))
 
 
-def documents_view(documents: DataFrame, length: int | None = 200) -> DataFrame:
-    """Documents as products: the head of the text (all of it if ``length`` is None) as title, the source as shop, exact copies as truth."""
+def documents_view(documents: DataFrame, length: int | None = None) -> DataFrame:
+    """Documents as products: the text, or its first ``length`` characters, as title, the source as shop, exact copies as truth."""
     text = F.coalesce("text", F.lit(""))
     title = text if length is None else F.substring(text, 1, length)
     return documents.select(

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from erspark.plans import curves, sweep, tuning
 from erspark.plans.matching import evaluate, match
 from erspark.plans.params import FULL, FeatureParams, LshParams, MatchParams
-from erspark.queries import docs, parts
-from erspark.sources.products import from_json
+from erspark.queries import parts
+from erspark.sources.products import documents_view, from_json
 from erspark.streaming.incremental import band_table, candidates_of_stream
 
 SF = "/root/testdata/sf0.01"
 
 
+def docs(spark, sf):
+    """The heads that the regression counts were made for."""
+    return documents_view(spark.read.parquet(f"{sf}/documents.parquet"), 200)
+
+
 def test_documents_run_end_to_end(spark):
     m = evaluate(docs(spark, SF), FULL[0], LshParams(50, 4), FULL[1]).first()
     assert m.n_comp == 238
@@ -49,6 +54,13 @@ def test_grid_equals_single_bootstraps(spark):
     assert curve.count() == 8 and curves.performance_curve(spark.createDataFrame(rows)).columns == ["Frac_Comps", "Mean_F1", "Mean_F1_star"]
 
 
+def test_grid_by_the_sequential_draw(spark):
+    products = docs(spark, "/root/testdata/sf0.001")
+    row = sweep.run_grid(products, sweep.grid(pairs=[LshParams(8, 2)], bootstraps=1), draw="sequential").first()
+    own = sweep.bootstrap_metrics(products, FULL[0], LshParams(8, 2), FULL[1], 0, draw="sequential").first()
+    assert (row.Mean_F1, row.Mean_PC, row.Frac_Comps) == pytest.approx((own.f1, own.pc, own.frac_comp)) and own.n_comp > 0
+
+
 def test_bootstrap_of_one_row_is_zero(spark):
     one = docs(spark, "/root/testdata/sf0.001").limit(1)
     assert tuple(sweep.bootstrap_metrics(one, FULL[0], LshParams(2, 2), FULL[1], 0).first()) == (0.0, 0.0, 0.0, 0.0, 0, 0.0)
@@ -98,4 +110,6 @@ def test_cli_compare(spark, tmp_path):
     path.write_text(json.dumps({f"m{k}": [{"title": f"tv {k}", "shop": s, "featuresMap": {"Brand": "b"}} for s in "ab"] for k in range(4)}))
     cli.main(["match", str(path), "--out", str(tmp_path / "out")])
     assert set(spark.read.parquet(str(tmp_path / "out")).columns) == {"id", "cluster_id"}
-    assert F.lit(1) is not None
+    cli.main(["compare", str(path), "--out", str(tmp_path / "curve"), "--bootstraps", "1"])
+    curve = spark.read.parquet(str(tmp_path / "curve"))
+    assert {(r.model, r["count"]) for r in curve.groupBy("model").count().collect()} == {("full", 99), ("restricted", 99)}
