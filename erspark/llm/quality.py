@@ -105,6 +105,10 @@ def measure_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=[*COUNTS, *METRICS])
 
 
+# as it is costly, no filter may be pushed below it: that would run it twice
+measure_udf = measure_udf.asNondeterministic()
+
+
 def base_failed(m: str = "m") -> Column:
     return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT * F.col(f"{m}.n_words"))
 
