@@ -58,13 +58,16 @@ def _jaccard(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
 
 
-def _greedy(on: str) -> str:
-    """The greedy matching as a recursion over the attributes of the first side; ``on`` says which parts x, y are pairs."""
+_FEATS = """feats AS (SELECT id, unnest([1, 2, 3, 4, 5]) AS k, unnest(['Brand', 'Type', 'Screen Size', CASE WHEN id % 2 = 1 THEN 'Aspect Ratio' ELSE 'Ratio' END, CASE WHEN id % 2 = 1 THEN 'Native Resolution' ELSE 'Resolution (native)' END]) AS key,
+  unnest([brand, type, screen, ratio, res]) AS value FROM parts)"""
+
+
+def _greedy(on: str, pairs: str = "parts x JOIN parts y") -> str:
+    """The greedy matching as a recursion over the attributes of the first side; ``pairs`` and ``on`` say which parts x, y are pairs."""
     words = _value_words("value").replace("lower(trim(w))", "trim(w)")
-    return f"""feats AS (SELECT id, unnest([1, 2, 3, 4, 5]) AS k, unnest(['Brand', 'Type', 'Screen Size', CASE WHEN id % 2 = 1 THEN 'Aspect Ratio' ELSE 'Ratio' END, CASE WHEN id % 2 = 1 THEN 'Native Resolution' ELSE 'Resolution (native)' END]) AS key,
-  unnest([brand, type, screen, ratio, res]) AS value FROM parts),
+    return f"""{_FEATS},
 fg AS (SELECT id, k, key, {_grams('key')} AS kg, {_grams('value')} AS vg, {words} AS mw FROM feats),
-pairs AS (SELECT x.id AS id1, y.id AS id2, x.title AS t1, y.title AS t2 FROM parts x JOIN parts y ON {on}),
+pairs AS (SELECT x.id AS id1, y.id AS id2, x.title AS t1, y.title AS t2 FROM {pairs} ON {on}),
 sims AS (SELECT id1, id2, x.k AS k1, x.key AS key1, y.k AS k2, {_jaccard('x.kg', 'y.kg')} AS ks, {_jaccard('x.vg', 'y.vg')} AS vs FROM pairs JOIN fg x ON x.id = id1 JOIN fg y ON y.id = id2),
 hits AS (SELECT id1, id2, k1, list({{'k2': k2, 'key1': key1, 'ks': ks, 'vs': vs}} ORDER BY k2) AS found FROM sims WHERE ks > CAST(0.718 AS DOUBLE) GROUP BY id1, id2, k1),
 r(id1, id2, k, used, matched, sim, w, m) AS (SELECT id1, id2, 0, CAST([] AS INTEGER[]), CAST([] AS VARCHAR[]), 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM pairs
@@ -83,6 +86,23 @@ _TITLE_SIM = """tblend AS (SELECT id1, id2, cos, coalesce(unlike, FALSE) AS unli
 tsim AS (SELECT id1, id2, CASE WHEN cos > CAST(0.558 AS DOUBLE) THEN 1.0 WHEN unlike THEN -1.0 WHEN alike THEN CAST(0.19 AS DOUBLE) * strict + (1 - CAST(0.19 AS DOUBLE)) * s ELSE s END AS t FROM tblend)"""
 
 
+_SCORED = """scored AS (SELECT id1, id2, CASE WHEN blocked THEN 0.0 WHEN t = -1 THEN m / 5.0::DOUBLE * mean + (1 - m / 5.0::DOUBLE) * overlap
+  ELSE (1 - mu) * m / 5 * mean + (1 - mu - (1 - mu) * m / 5) * overlap + mu * t END AS sim
+  FROM (SELECT g.id1, g.id2, o.blocked, t.t, g.m, CASE WHEN g.w = 0 THEN 0 ELSE g.sim / g.w END AS mean, o.overlap, CAST(0.819 AS DOUBLE) AS mu FROM greedy g JOIN ovl o USING (id1, id2) JOIN tsim t USING (id1, id2)))"""
+# average linkage, a merge for each brand and type at a time; unless a pair is given, two clusters are no candidates
+_LINKAGE = f"""near AS (SELECT least(x, y) AS n1, greatest(x, y) AS n2 FROM (SELECT p_partkey AS x, unnest([lead(p_partkey, 1) OVER w, lead(p_partkey, 2) OVER w, lead(p_partkey, 3) OVER w]) AS y
+  FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey)) WHERE y IS NOT NULL),
+{_greedy("y.id = n2", "near JOIN parts x ON x.id = n1 JOIN parts y")}, {_COSINE}, {_WORD_PAIRS}, {_TITLE_SIM}, {_SCORED},
+g(step, comp, id, label) AS (SELECT 0, brand || '|' || type, id, id FROM parts WHERE id IN (SELECT id1 FROM scored UNION ALL SELECT id2 FROM scored)
+  UNION ALL SELECT g.step + 1, g.comp, g.id, CASE WHEN g.label = best.m.b THEN best.m.a ELSE g.label END FROM g JOIN (
+    SELECT comp, min({{'d': d, 'a': a, 'b': b}}) AS m FROM (SELECT e.comp, a, b, round((given + x.n * y.n - e.n) / (x.n * y.n), 12) AS d
+      FROM (SELECT x.comp, least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, sum(1 - sim) AS given, count(*) AS n
+        FROM scored JOIN g x ON x.id = id1 JOIN g y ON y.id = id2 WHERE x.label <> y.label GROUP BY ALL) e
+      JOIN (SELECT label, count(*) AS n FROM g GROUP BY label) x ON x.label = a JOIN (SELECT label, count(*) AS n FROM g GROUP BY label) y ON y.label = b)
+    WHERE d < CAST(0.454 AS DOUBLE) GROUP BY comp) best ON best.comp = g.comp),
+found AS (SELECT id, label AS cluster_id, n FROM (SELECT id, label, count(*) OVER (PARTITION BY label) AS n FROM (SELECT id, arg_max(label, step) AS label FROM g GROUP BY id)) WHERE n > 1)"""
+
+
 def _oob() -> str:
     return ", ".join(f"({seed}, {k})" for seed in range(3) for k in sampling.out_of_bag_positions(25, seed))
 
@@ -148,9 +168,17 @@ CAST(0.558 AS DOUBLE) AS "Alpha", CAST(0.859 AS DOUBLE) AS "Beta", CAST(0.190 AS
     ) + " FROM part GROUP BY p_size, length(p_type)",
     "key_value_match": f"WITH RECURSIVE {_PARTS}, {_greedy('y.id = x.id + 1')} SELECT id1, id2, round(sim, 6) AS sim, round(w, 6) AS w, m, array_to_string(list_sort(matched), '|') AS matched FROM greedy",
     "mw_overlap": f"WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)} SELECT id1, id2, CASE WHEN NOT blocked THEN round(overlap, 6) END AS overlap FROM ovl",
-    "pair_similarity": f"""WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)}, {_COSINE}, {_WORD_PAIRS}, {_TITLE_SIM},
-scored AS (SELECT id1, id2, CASE WHEN blocked THEN 0.0 WHEN t = -1 THEN m / 5.0::DOUBLE * mean + (1 - m / 5.0::DOUBLE) * overlap
-  ELSE (1 - mu) * m / 5 * mean + (1 - mu - (1 - mu) * m / 5) * overlap + mu * t END AS sim
-  FROM (SELECT g.id1, g.id2, o.blocked, t.t, g.m, CASE WHEN g.w = 0 THEN 0 ELSE g.sim / g.w END AS mean, o.overlap, CAST(0.819 AS DOUBLE) AS mu FROM greedy g JOIN ovl o USING (id1, id2) JOIN tsim t USING (id1, id2)))
+    "pair_similarity": f"""WITH RECURSIVE {_PARTS}, {_greedy(_LIKE)}, {_COSINE}, {_WORD_PAIRS}, {_TITLE_SIM}, {_SCORED}
 SELECT id1, id2, round(sim, 6) AS sim, round(1 - sim, 6) AS dist FROM scored""",
+    "part_clusters": f"WITH RECURSIVE {_PARTS}, {_LINKAGE} SELECT id, cluster_id FROM found",
+    "part_cluster_pairs": f"WITH RECURSIVE {_PARTS}, {_LINKAGE} SELECT id, cluster_id AS class_id, n - 1 AS n_links FROM found",
+    "part_cluster_metrics": f"""WITH RECURSIVE {_PARTS}, {_LINKAGE},
+cands AS (SELECT id1, id2 FROM scored), predicted AS (SELECT x.id AS id1, y.id AS id2 FROM found x JOIN found y ON x.cluster_id = y.cluster_id AND x.id < y.id), docs AS (SELECT id, true_model_id FROM parts), {_TRUTH},
+h AS (SELECT coalesce(count(t.id1)::DOUBLE / nullif(count(*), 0), 0) AS p, coalesce(count(t.id1)::DOUBLE / nullif((SELECT count(*) FROM truth), 0), 0) AS r FROM predicted q LEFT JOIN truth t USING (id1, id2))
+""" + _METRICS.format(f1="(SELECT CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END FROM h)"),
+    "json_products": f"WITH {_PARTS}, {_FEATS} SELECT dense_rank() OVER (ORDER BY id) - 1 AS id, true_model_id, title, shop, k - 1 AS place, key, value FROM feats JOIN parts USING (id)",
+    "model_curves": " UNION ALL ".join(
+        f"SELECT '{model}' AS model, " + ", ".join(f'round(avg((p_partkey % {n}) / {n}.0::DOUBLE), 6) AS "{name}"' for n, name in zip(primes, ("Frac_Comps", "Mean_F1", "Mean_F1_star"))) + " FROM part GROUP BY p_size, length(p_type)"
+        for model, primes in (("full", (73, 97, 89)), ("restricted", (53, 71, 67)))
+    ),
 }

@@ -20,10 +20,10 @@ from erspark.operators import features as feat
 from erspark.operators.components import connected_components
 from erspark.oracles import ORACLES as ORACLES
 from erspark.plans import curves, sweep
-from erspark.plans.lineage import cut
+from erspark.plans.lineage import cut, scratch_path
 from erspark.plans.matching import candidates, evaluate
 from erspark.plans.params import FULL, LshParams
-from erspark.sources.products import documents_view, part_view
+from erspark.sources.products import documents_view, from_json_lines, part_view
 
 K = 4
 HASHES = 16
@@ -219,6 +219,41 @@ def clusters(spark, d):
     return clustering.without_singletons(clustering.clusters(matching.pair_similarity(pairs, products, FULL[1]), FULL[1].epsilon))
 
 
+def _neighbours(spark, d):
+    """Scored pairs of parts: each with the next three of its brand and type by size."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_size")
+    order = Window.partitionBy("p_brand", "p_type").orderBy("p_size", "p_partkey")
+    near = part.select(F.col("p_partkey").alias("x"), F.array(*[F.lead("p_partkey", k).over(order) for k in (1, 2, 3)]).alias("next"))
+    near = near.select("x", F.explode("next").alias("y")).filter("y IS NOT NULL")
+    return cut(matching.pair_similarity(near.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")), parts(spark, d), FULL[1]).select("id1", "id2", "dist"))
+
+
+def part_clusters(spark, d):
+    """Average linkage over parts of a like size."""
+    return clustering.without_singletons(clustering.clusters(_neighbours(spark, d), FULL[1].epsilon))
+
+
+def part_cluster_pairs(spark, d):
+    return clustering.linked(part_clusters(spark, d), "cluster_id")
+
+
+def part_cluster_metrics(spark, d):
+    """The clusters of ``part_clusters`` against the parts' models."""
+    scored, products = _neighbours(spark, d), parts(spark, d)
+    found = clustering.without_singletons(clustering.clusters(scored, FULL[1].epsilon))
+    m = metrics.metrics(metrics.class_counts(scored.select("id1", "id2"), found, products), F.lit(products.count()))
+    return m.select("n_comp", *[_r(F.col(c)).alias(c) for c in ("f1", "f1_star", "pc", "pq", "frac_comp")])
+
+
+def json_products(spark, d):
+    """Parts, written as JSON lines and read back; a row per attribute."""
+    own = parts(spark, d).orderBy("id").select(F.col("true_model_id").alias("model_id"), "title", "shop", F.map_from_entries("features").alias("featuresMap"))
+    path = scratch_path(spark, "json-products")
+    own.write.json(path)
+    read = from_json_lines(spark, path).select("id", "true_model_id", "title", "shop", F.posexplode("features").alias("place", "f"))
+    return read.select("id", "true_model_id", "title", "shop", "place", "f.key", "f.value")
+
+
 def cluster_pairs(spark, d):
     """The pairs within clusters: a row per id with its cluster and number of links."""
     return clustering.linked(clusters(spark, d), "cluster_id")
@@ -260,16 +295,24 @@ def grid_configs(spark, d):
     return sweep.grid_configs(spark, sweep.grid() | {"MW_WEIGHT": [0, 2], "STOP_FREQ": [0.0138, 1.0]})
 
 
+def _measured_parts(spark, d, *primes):
+    """A table of measures by bootstrap and configuration, made from parts."""
+    measures = [((F.col("p_partkey") % n) / float(n)).alias(c) for n, c in zip(primes, ("f1", "f1_star", "pq", "pc", "frac_comp"), strict=True)]
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").alias("Bands"), F.length("p_type").alias("Rows"), *measures)
+
+
 def grid_summary(spark, d):
-    """Means and order of a grid's results, over a table of measures by bootstrap and configuration made from parts."""
-    value = lambda n: (F.col("p_partkey") % n) / float(n)
-    part = spark.read.parquet(f"{d}/part.parquet").select(
-        F.col("p_size").alias("Bands"), F.length("p_type").alias("Rows"), value(97).alias("f1"), value(89).alias("f1_star"), value(83).alias("pq"), value(79).alias("pc"), value(73).alias("frac_comp")
-    )
-    rows = sweep.best_first(sweep.summarised(part, ("Bands", "Rows")), "Bands", "Rows")
+    """Means and order of a grid's results."""
+    rows = sweep.best_first(sweep.summarised(_measured_parts(spark, d, 97, 89, 83, 79, 73), ("Bands", "Rows")), "Bands", "Rows")
     return rows.select("Bands", "Rows", *[_r(F.col(c)).alias(c) for c in sweep.MEANS])
 
 
+def model_curves(spark, d):
+    """The curve of two models' results over one grid."""
+    full, restricted = (sweep.summarised(_measured_parts(spark, d, *primes), ("Bands", "Rows")) for primes in ((97, 89, 83, 79, 73), (71, 67, 61, 59, 53)))
+    return curves.combined_curve(full, restricted).select("model", *[_r(F.col(c)).alias(c) for c in ("Frac_Comps", "Mean_F1", "Mean_F1_star")])
+
+
 def _published_grid(spark, d):
     return sweep.run_grid(docs(spark, d), sweep.grid())
 
@@ -287,7 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         near_duplicate_pairs, lsh_classes, clean_text, char_shingles, shingle_df, stop_shingles, pruned_shingles, title_model_words, attr_model_words, brand_words,
         hybrid_features, feature_hash, minhash_signature, lsh_candidates, lsh_pair_rows, token_cosine, kgram_jaccard, norm_levenshtein, alnum_split, weighted_mw, title_comp,
-        brands, resolutions, block_checks, key_value_match, mw_overlap, pair_similarity, components, clusters, cluster_pairs, transitive_pairs, true_pairs,
-        pair_metrics, cluster_metrics, bootstrap_oob, bootstrap_oob_documents, grid_configs, grid_summary, grid_search, curve,
+        brands, resolutions, block_checks, key_value_match, mw_overlap, pair_similarity, components, part_clusters, part_cluster_pairs, part_cluster_metrics, json_products, clusters, cluster_pairs, transitive_pairs, true_pairs,
+        pair_metrics, cluster_metrics, bootstrap_oob, bootstrap_oob_documents, grid_configs, grid_summary, model_curves, grid_search, curve,
     )
 }

@@ -11,21 +11,37 @@ from erspark.plans.lineage import cut
 SCHEMA = "map<string,array<struct<title:string,shop:string,featuresMap:map<string,string>>>>"
 
 
-def from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Products of a file that holds one object {model_id: [product, ...]}. Ids follow the order of the file. Of repeated attribute keys
-    the first place and the last value count; null values are empty."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", SCHEMA).alias("models"))
-    models = raw.select(F.posexplode(F.map_entries("models")).alias("i", "model"))
-    items = models.select("i", F.col("model.key").alias("true_model_id"), F.posexplode("model.value").alias("j", "p"))
+LINE = "model_id string, title string, shop string, featuresMap map<string,string>"
+
+
+def _products(rows: DataFrame) -> DataFrame:
+    """Products from rows (id, true_model_id, p), numbered in the order of the id."""
     entries = F.coalesce(F.map_entries("p.featuresMap"), F.array().cast("array<struct<key:string,value:string>>"))
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
     features = F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(last(k), F.lit("")).alias("value")))
-    rows = cut(items.select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("j")).alias("id"), "true_model_id", "p"))
-    items = numbered(rows)
+    items = numbered(cut(rows))
     return items.select(F.col("position").cast("long").alias("id"), "true_model_id", F.coalesce("p.title", F.lit("")).alias("title"), F.coalesce("p.shop", F.lit("")).alias("shop"), features.alias("features"))
 
 
+def from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Products of a file, or of the files of a folder, that hold one object {model_id: [product, ...]} each. Ids follow the order of the files' paths,
+    then of the file. Of repeated attribute keys the first place and the last value count; null values are empty. A file is
+    read by one task; ``from_json_lines`` is the form for large inputs."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", SCHEMA).alias("models"))
+    models = raw.select("file", F.posexplode(F.map_entries("models")).alias("i", "model"))
+    items = models.select("file", "i", F.col("model.key").alias("true_model_id"), F.posexplode("model.value").alias("j", "p"))
+    return _products(items.select(F.struct("file", "i", "j").alias("id"), "true_model_id", "p"))
+
+
+def from_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Products of files with one object {model_id, title, shop, featuresMap} a line, which tasks read in parts. Ids follow the order of the files'
+    paths, then of the lines. Blank lines are left out, a line that is no object fails the read; otherwise as ``from_json``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    told = lines.filter(F.trim("value") != "").select(F.struct("file", "block", "line").alias("id"), F.from_json("value", LINE, {"mode": "FAILFAST"}).alias("p"))
+    return _products(told.select("id", F.col("p.model_id").alias("true_model_id"), "p"))
+
+
 def _feature(key, value):
     key = F.lit(key) if isinstance(key, str) else key
     return F.struct(key.alias("key"), F.coalesce(value, F.lit("")).alias("value"))
