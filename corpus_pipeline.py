@@ -1,8 +1,8 @@
 """A corpus pipeline in five stages: quality rules, near duplicates, benchmark passages, source mix, shards.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; ``run`` writes each stage's
-rows as Parquet into the shared folder and reads them back for the next one. All stages but the last return the columns of
-``documents``.
+rows as Parquet into the shared folder and reads them back for the next one; what a stage has read or put there itself is removed when its
+rows are written. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from erspark.llm import decontam, mixing, quality, sharding, simhash
 from erspark.llm.common import table
-from erspark.plans.lineage import stored
+from erspark.plans.lineage import replaced
 from erspark.plans.shipping import importable
 
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = replaced(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}", path)
     return STAGES[-1][1](spark, docs, sf_dir)
