@@ -213,7 +213,8 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         # of equal rows one is enough to write the takes of all
         packed = packed.join(again, same(again), "left_anti").union(packed.join(again, same(again), "left_semi").dropDuplicates(["own_id", "own_told"]))
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
-    some = F.concat_ws(" ", F.flatten(F.transform("spans", lambda s: F.slice(words, s["first"].cast("int") + 1, s["n"].cast("int")))))
+    # the words are a variable of the outer transform, so a text is split once, not once per span
+    some = F.transform(F.array(words), lambda own: F.concat_ws(" ", F.flatten(F.transform("spans", lambda s: F.slice(own, s["first"].cast("int") + 1, s["n"].cast("int"))))))[0]
     out = packed.join(takes, same(takes)).withColumn("taken_text", F.when(F.col("all_words"), F.col("doc.text")).otherwise(some))
     made = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
