@@ -49,10 +49,14 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return rows.select("item_id", F.slice("words", F.col("at") + 1, WINDOW).alias("window")).distinct()
 
 
+def _fits(df: DataFrame, text: Column) -> bool:
+    """Whether the measured size of ``df`` allows a broadcast."""
+    return (df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _sized(df: DataFrame, text: Column) -> DataFrame:
     """``df``, marked for broadcast only if its measured size allows it."""
-    size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _fits(df, text) else df
 
 
 def rarest_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -81,10 +85,16 @@ def positional_index(docs: DataFrame, places: DataFrame) -> DataFrame:
     ends = docs.sparkSession.createDataFrame([("", False)], "term string, leads boolean")
     named = cut(named.groupBy("term").agg(F.max("leads").alias("leads")).union(ends))
     rows = docs.select("doc_id", "told", words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "told", "words", F.posexplode(F.array_append("words", F.lit(""))).alias("at", "term")).join(_sized(named, F.col("term")), "term")
+    rows = rows.select("doc_id", "told", "words", F.posexplode(F.array_append("words", F.lit(""))).alias("at", "term"))
     low = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
-    context = F.when(F.col("leads"), F.slice("words", low + 1, 2 * WINDOW - 1))
-    return stored(rows.select("doc_id", "told", "term", "at", context.alias("context"), low.alias("context_from")), "positional-index")
+    context = F.slice("words", low + 1, 2 * WINDOW - 1)
+    if _fits(named, F.col("term")):
+        rows = rows.join(F.broadcast(named), "term").withColumn("context", F.when(F.col("leads"), context))
+    else:
+        # no shuffled row may carry its whole text: those that may be named take their context first
+        rows = marked(rows, named, ("term",))[0].select("doc_id", "told", "term", "at", context.alias("context")).join(named, "term")
+        rows = rows.withColumn("context", F.when(F.col("leads"), F.col("context")))
+    return stored(rows.select("doc_id", "told", "term", "at", "context", low.alias("context_from")), "positional-index")
 
 
 def _moved(index: DataFrame, places: DataFrame, which: str) -> DataFrame:
